@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reedmill.functions.session import table
-from reedmill.llm import unify
+from reedmill.llm import mixing, pieces, quota, truncated, unify
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,5 +18,67 @@ def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unify.unify(table(spark, folder, "article_records").select("row_id", *unify.FIELDS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unified)}
-SQL: dict[str, str] = {}
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return quota.report(table(spark, folder, "article_records"), table(spark, folder, "category_targets"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_report(spark, folder).where("short").select("category")
+
+
+def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return quota.sample(table(spark, folder, "article_records"), table(spark, folder, "category_targets"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.found(table(spark, folder, "article_records"), table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.pieces(table(spark, folder, "article_records"), table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "source_weights")).where("short").select("source")
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return mixing.mix(documents, mixing.rates(documents, table(spark, folder, "source_weights")))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated.cut_off(table(spark, folder, "documents")).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated.rates(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_report, p2_sample, p7_found, p7_pieces, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
+}
+
+#: Labels of article_records and of the targets in one form, pools and the sample size.
+_POOLS = r"""
+WITH keyed AS (
+  SELECT article_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(category)), '[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM article_records
+), goal AS (
+  SELECT category, target_pct, min_rows, trim(regexp_replace(lower(nfc_normalize(category)), '\s+', ' ', 'g')) AS k FROM category_targets
+), pools AS (
+  SELECT g.category, g.target_pct, g.min_rows, count(DISTINCT a.article_id) AS pool FROM goal g LEFT JOIN keyed a ON a.k = g.k GROUP BY 1, 2, 3
+), n AS (SELECT sum(pool) // 4 AS n FROM pools)
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": _POOLS + "SELECT category FROM pools, n WHERE pool * 100 < target_pct * n.n OR pool < min_rows",
+    "p7_found": r"""
+SELECT 'article' AS item_kind, CAST(row_id AS VARCHAR) AS item_key FROM article_records WHERE length(content) > (SELECT max_size FROM size_limits WHERE item_kind = 'article')
+UNION SELECT 'chunk', chunk_id FROM chunks
+WHERE length(regexp_replace(regexp_replace(chunk_text, '[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', 'x', 'g'), '[^x]', '', 'g')) > (SELECT max_size FROM size_limits WHERE item_kind = 'chunk')
+""",
+}
