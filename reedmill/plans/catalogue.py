@@ -6,5 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from reedmill.functions.session import table
+from reedmill.operators import strict_csv
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return strict_csv.rejects(table(spark, folder, "raw_rows"))
+
+
+def p5_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return strict_csv.articles(table(spark, folder, "raw_rows"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_articles": p5_articles}
+
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_RECORDS = rf"""
+WITH r AS (
+  SELECT *, NOT regexp_full_match(raw_line, '{_FIELD}(?:,{_FIELD})*') AS bad_quotes,
+    length(regexp_replace(raw_line, '"(?:[^"]|"")*"', '', 'g')) - length(replace(regexp_replace(raw_line, '"(?:[^"]|"")*"', '', 'g'), ',', '')) + 1 AS n
+  FROM raw_rows
+), f AS (
+  SELECT *, CASE WHEN NOT bad_quotes AND n = 5 THEN regexp_extract(raw_line, '^({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD})$', ['a', 'b', 'c', 'd', 'e']) END AS x FROM r
+), v AS (
+  SELECT *, CASE WHEN x IS NOT NULL THEN [CASE WHEN s[1] = '"' THEN replace(s[2:-2], '""', '"') ELSE s END FOR s IN [x.a, x.b, x.c, x.d, x.e]] END AS y FROM f
+), w AS (
+  SELECT *, trim(y[1], E' \t\n\r 　') AS id, trim(y[4], E' \t\n\r 　') AS body FROM v
+), k AS (
+  SELECT *, CASE WHEN raw_line IS NULL THEN 'column_count' WHEN bad_quotes THEN 'quoting' WHEN n <> 5 THEN 'column_count'
+    WHEN NOT regexp_full_match(id, '[0-9]+') OR coalesce(TRY_CAST(id AS BIGINT), 0) < 1 OR body = '' OR lower(body) = 'nan' THEN 'invalid_value' END AS reason FROM w
+)
+"""
+
+SQL: dict[str, str] = {
+    "p5_found": _RECORDS + "SELECT row_id, reason FROM k WHERE reason IS NOT NULL",
+    "p5_articles": _RECORDS + "SELECT row_id, split, file_name, line_no, CAST(id AS BIGINT) AS article_id, y[2] AS title, y[3] AS description, y[4] AS content, y[5] AS category FROM k WHERE reason IS NULL",
+}
