@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reedmill.functions.session import table
-from reedmill.llm import mixing, pieces, quota, truncated, unify
+from reedmill.llm import answers, markup, mixing, pieces, quota, truncated, unify
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,18 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota.sample(table(spark, folder, "article_records"), table(spark, folder, "category_targets"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return answers.defects(table(spark, folder, "qa_output"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.found(table(spark, folder, "article_records"))
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.strip_markup(table(spark, folder, "article_records"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.found(table(spark, folder, "article_records"), table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
 
@@ -60,7 +72,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_report, p2_sample, p7_found, p7_pieces, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
+    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_report, p2_sample, p4_found, p6_found, p6_clean, p7_found, p7_pieces, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
 }
 
 #: Labels of article_records and of the targets in one form, pools and the sample size.
