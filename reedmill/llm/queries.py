@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reedmill.functions.session import table
-from reedmill.llm import answers, markup, mixing, pieces, quota, truncated, unify
+from reedmill.llm import answers, leaks, markup, mixing, overlap, pieces, quota, truncated, unify
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota.sample(table(spark, folder, "article_records"), table(spark, folder, "category_targets"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlaps(table(spark, folder, "article_records")).select("row_id_a", "row_id_b")
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.report(table(spark, folder, "article_records"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return answers.defects(table(spark, folder, "qa_output"))
 
@@ -50,6 +58,10 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.pieces(table(spark, folder, "article_records"), table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.found(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "source_weights")).where("short").select("source")
 
@@ -72,7 +84,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_report, p2_sample, p4_found, p6_found, p6_clean, p7_found, p7_pieces, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
+    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p6_found, p6_clean, p7_found, p7_pieces, p8_found, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
 }
 
 #: Labels of article_records and of the targets in one form, pools and the sample size.
