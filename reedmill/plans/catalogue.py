@@ -5,21 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from reedmill.functions import text as T
 from reedmill.functions.session import table
-from reedmill.operators import strict_csv
+from reedmill.operators import chunking, flat_chunks, ingest, profile, qa, retrieval, similarity, splits, strict_csv
+from reedmill.operators.chunking import ChunkingConfig
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return strict_csv.rejects(table(spark, folder, "raw_rows"))
+#: Size of the corpus reducer and the ids it also keeps (of these tables).
+FIRST_ROWS = 500
+KEEP_IDS = ("2000000001", "2000000042", "2000000111", "2000000739", "2000001001")
 
 
-def p5_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return strict_csv.articles(table(spark, folder, "raw_rows"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "article_records")
+
+
+def raw(spark: SparkSession, folder: str) -> DataFrame:
+    """The records as raw rows: id and the four text columns."""
+    return records(spark, folder).select("row_id", F.col("article_id").alias("id"), "title", "description", "content", "category")
+
+
+def once(spark: SparkSession, folder: str) -> DataFrame:
+    """Each article once, by its smallest row."""
+    return records(spark, folder).where("article_id is not null").groupBy("article_id").agg(F.min_by(F.struct("title", "description", "content", "category"), "row_id").alias("x")).select("article_id", "x.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_articles": p5_articles}
+_ONCE = "(SELECT article_id, arg_min({title: title, description: description, content: content, category: category}, row_id) AS x FROM article_records WHERE article_id IS NOT NULL GROUP BY article_id)"
+_B = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_strip = lambda x: f"regexp_replace({x}, '^[{_B}]+|[{_B}]+$', '', 'g')"
+_tokens = lambda x: f"len(regexp_extract_all({x}, '[^{_B}]+'))"
+_ARTICLES = f"WITH a AS (SELECT article_id, x.title AS title, x.description AS description, x.content AS content, x.category AS category FROM {_ONCE})"
 
+
+# strict CSV (problem 5)
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 _RECORDS = rf"""
 WITH r AS (
@@ -29,16 +62,440 @@ WITH r AS (
 ), f AS (
   SELECT *, CASE WHEN NOT bad_quotes AND n = 5 THEN regexp_extract(raw_line, '^({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD})$', ['a', 'b', 'c', 'd', 'e']) END AS x FROM r
 ), v AS (
-  SELECT *, CASE WHEN x IS NOT NULL THEN [CASE WHEN s[1] = '"' THEN replace(s[2:-2], '""', '"') ELSE s END FOR s IN [x.a, x.b, x.c, x.d, x.e]] END AS y FROM f
+  SELECT *, CASE WHEN x IS NOT NULL THEN list_transform([x.a, x.b, x.c, x.d, x.e], lambda s: CASE WHEN s[1] = '"' THEN replace(s[2:-2], '""', '"') ELSE s END) END AS y FROM f
 ), w AS (
-  SELECT *, trim(y[1], E' \t\n\r 　') AS id, trim(y[4], E' \t\n\r 　') AS body FROM v
+  SELECT *, {_strip("y[1]")} AS id, {_strip("y[4]")} AS body FROM v
 ), k AS (
   SELECT *, CASE WHEN raw_line IS NULL THEN 'column_count' WHEN bad_quotes THEN 'quoting' WHEN n <> 5 THEN 'column_count'
     WHEN NOT regexp_full_match(id, '[0-9]+') OR coalesce(TRY_CAST(id AS BIGINT), 0) < 1 OR body = '' OR lower(body) = 'nan' THEN 'invalid_value' END AS reason FROM w
 )
 """
 
-SQL: dict[str, str] = {
-    "p5_found": _RECORDS + "SELECT row_id, reason FROM k WHERE reason IS NOT NULL",
-    "p5_articles": _RECORDS + "SELECT row_id, split, file_name, line_no, CAST(id AS BIGINT) AS article_id, y[2] AS title, y[3] AS description, y[4] AS content, y[5] AS category FROM k WHERE reason IS NULL",
-}
+
+@query(_RECORDS + "SELECT row_id, reason FROM k WHERE reason IS NOT NULL")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return strict_csv.rejects(table(spark, folder, "raw_rows"))
+
+
+@query(_RECORDS + "SELECT row_id, split, file_name, line_no, CAST(id AS BIGINT) AS article_id, y[2] AS title, y[3] AS description, y[4] AS content, y[5] AS category FROM k WHERE reason IS NULL")
+def p5_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return strict_csv.articles(table(spark, folder, "raw_rows"))
+
+
+# profiles
+@query("SELECT count(*) AS rows, count(DISTINCT article_id) AS distinct_ids, count(article_id) - count(DISTINCT article_id) AS duplicate_ids, min(n) AS min_chars, max(n) AS max_chars, CAST(sum(n) AS BIGINT) AS total_chars, avg(n) AS avg_chars, count_if(n = 0) AS empty_contents FROM (SELECT article_id, length(coalesce(content, '')) AS n FROM article_records)")
+def eda_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.profile(records(spark, folder))
+
+
+@query("SELECT \"column\", nulls FROM (SELECT count_if(title IS NULL) AS title, count_if(description IS NULL) AS description, count_if(content IS NULL) AS content, count_if(category IS NULL) AS category FROM article_records) UNPIVOT (nulls FOR \"column\" IN (title, description, content, category))")
+def eda_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.nulls(records(spark, folder), ("title", "description", "content", "category"))
+
+
+@query("SELECT coalesce(category, '(null)') AS category, count(*) AS n FROM article_records GROUP BY 1")
+def eda_categories(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.histogram(records(spark, folder))
+
+
+@query("SELECT coalesce(category, '(null)') AS category, count(*) AS n FROM article_records GROUP BY 1 ORDER BY n DESC, category LIMIT 15")
+def eda_top_categories(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.histogram(records(spark, folder), most=15)
+
+
+@query("SELECT article_id, CAST(count(*) AS BIGINT) AS rows, count(DISTINCT split) AS splits FROM article_records WHERE article_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def eda_duplicates_across_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.duplicates_across(records(spark, folder))
+
+
+@query("SELECT TRY_CAST(trim(article_id) AS BIGINT) AS id, title, description, content, category FROM article_records")
+def typed_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.typed_corpus(raw(spark, folder))
+
+
+# ingest
+_PRESENT = " AND ".join(f"coalesce({c}, '') <> ''" for c in ("article_id", "title", "description", "content", "category"))
+
+
+@query(f"SELECT row_id FROM article_records WHERE {_PRESENT}")
+def ingest_present_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return raw(spark, folder).where(ingest.present()).select("row_id")
+
+
+@query()
+def ingest_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.articles(raw(spark, folder), extra=("row_id",)).drop("raw_content")
+
+
+@query()
+def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
+    rows = raw(spark, folder)
+    return ingest.counters(rows, ingest.articles(rows))
+
+
+@query()
+def ingest_review(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.review_rows(ingest.articles(raw(spark, folder), extra=("row_id",)), "row_id", 200)
+
+
+@query(
+    f"SELECT row_id, list_filter([CASE WHEN length(coalesce(content, '')) < 300 THEN 'short_content' END, CASE WHEN length(coalesce(content, '')) > 20000 THEN 'long_content' END, "
+    f"CASE WHEN regexp_matches(content, '<[^>]+>') OR regexp_matches(content, '&[a-z]+;') THEN 'html_like' END, CASE WHEN regexp_matches(content, '(?i)https?://[^{_B}]+|www\\.[^{_B}]+') THEN 'url_like' END], lambda x: x IS NOT NULL) AS flags FROM article_records"
+)
+def quality_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.quality_flags(F.col("content"), F.coalesce("content", F.lit(""))).alias("flags"))
+
+
+@query(f"SELECT row_id, regexp_replace(regexp_replace(content, '<[^>]+>', ' ', 'g'), '(?i)https?://[^{_B}]+|www\\.[^{_B}]+', ' ', 'g') AS content FROM article_records")
+def strip_tags_and_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.strip_urls(T.strip_tags(F.col("content"))).alias("content"))
+
+
+@query(f"SELECT row_id, {_strip(f'''regexp_replace(regexp_replace(content, '[{_B}]*[\\n\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}][{_B}]*', E'\\n', 'g'), '[ \\t\\f\\v]+', ' ', 'g')''')} AS content FROM article_records")
+def tidy_blanks(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.tidy_blanks(F.col("content")).alias("content"))
+
+
+@query(f"SELECT row_id, {_strip(f'''regexp_replace(replace(coalesce(content, ''), chr(65279), ' '), '[{_B}]+', ' ', 'g')''')} AS content FROM article_records")
+def clean_flat(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.clean_flat(F.col("content")).alias("content"))
+
+
+@query("SELECT row_id, 'Tiêu đề: ' || coalesce(title, '') || chr(10) || 'Mô tả: ' || coalesce(description, '') || chr(10) || 'Chuyên mục: ' || coalesce(category, '') || chr(10) || 'Nội dung:' || CASE WHEN coalesce(content, '') <> '' THEN chr(10) || content ELSE '' END AS text FROM article_records")
+def document_text(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.document_text(*(F.col(c) for c in ("title", "description", "category", "content"))).alias("text"))
+
+
+@query("SELECT row_id, concat_ws(chr(10), CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN description <> '' THEN 'Description: ' || description END, 'Content: ' || content) AS text FROM article_records WHERE content IS NOT NULL")
+def passage_text(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).where("content is not null").select("row_id", T.passage_text(F.col("title"), F.col("description"), F.col("content")).alias("text"))
+
+
+@query(f"SELECT row_id, {_tokens('content')} AS tokens FROM article_records")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.token_count(F.col("content")).alias("tokens"))
+
+
+@query(f"SELECT row_id, list_filter(list_transform(regexp_extract_all(content, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: {_strip('s')}), lambda s: s <> '') AS sentences FROM article_records")
+def sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.sentences(F.col("content")).alias("sentences"))
+
+
+@query(f"SELECT row_id, i - 1 AS i, s AS text FROM (SELECT row_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT row_id, list_filter(list_transform(regexp_split_to_array(content, '\\n+'), lambda s: {_strip('s')}), lambda s: s <> '') AS p FROM article_records))")
+def sections(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", F.posexplode(T.sections(F.col("content"))).alias("i", "s")).select("row_id", "i", "s.text")
+
+
+# chunking
+_CHUNK = rf"""
+{_ARTICLES}, t AS (
+  SELECT article_id, title, description, category, content, length(regexp_extract(content, '^[{_B}]*')) AS lead, regexp_extract_all(content, '[^{_B}]+[{_B}]*') AS w FROM a WHERE {_strip("coalesce(content, '')")} <> ''
+), k AS (
+  SELECT *, CASE WHEN length(content) <= 1000 OR len(w) <= SIZE THEN 1 ELSE 1 + CAST(ceil((len(w) - SIZE) / STEP.0) AS INT) END AS num_chunks FROM t
+), c AS (SELECT *, unnest(range(num_chunks)) AS i FROM k), b AS (
+  SELECT *, length(content) <= 1000 AS small, CASE WHEN length(content) <= 1000 THEN content ELSE {_strip("array_to_string(w[i * STEP + 1 : i * STEP + SIZE], '')")} END AS unit FROM c
+)
+SELECT article_id || '_token_' || CASE WHEN i < 10000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END AS chunk_id, article_id, {_strip("unit")} AS chunk_text,
+  concat_ws(chr(10), CASE WHEN title <> '' THEN 'Tiêu đề: ' || title END, CASE WHEN description <> '' THEN 'Mô tả: ' || description END, CASE WHEN category <> '' THEN 'Chuyên mục: ' || category END, 'Đoạn nội dung:', {_strip("unit")}) AS text,
+  CAST(i AS INT) AS chunk_index, num_chunks, CAST(CASE WHEN small THEN 0 ELSE lead + length(array_to_string(w[1 : i * STEP], '')) END AS INT) AS char_start,
+  CAST(CASE WHEN small THEN length(content) ELSE lead + length(array_to_string(w[1 : i * STEP], '')) + length(unit) END AS INT) AS char_end, {_tokens("unit")} AS token_count, length({_strip("unit")}) AS chunk_chars
+FROM b
+"""
+_chunk = lambda size, overlap: _CHUNK.replace("SIZE", str(size)).replace("STEP", str(size - overlap))
+
+
+def flat_metadata(df: DataFrame) -> DataFrame:
+    return df.select("chunk_id", "article_id", "chunk_text", "text", *(f"metadata.{c}" for c in ("chunk_index", "num_chunks", "char_start", "char_end", "token_count", "chunk_chars")))
+
+
+@query(_chunk(450, 80))
+def chunk_token(spark: SparkSession, folder: str) -> DataFrame:
+    return flat_metadata(chunking.chunks(once(spark, folder)))
+
+
+@query(_chunk(45, 8))
+def chunk_token_small_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return flat_metadata(chunking.chunks(once(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0), native=True))
+
+
+@query(f"SELECT * EXCLUDE (n, text, chunk_text, char_start, char_end), CAST(least(n, 3) AS INT) AS num_chunks, n > 3 AS truncated FROM (SELECT * RENAME (num_chunks AS n) FROM ({_chunk(45, 8)})) WHERE chunk_index < 3")
+def chunk_cap(spark: SparkSession, folder: str) -> DataFrame:
+    df = chunking.chunks(once(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0, max_chunks_per_article=3))
+    return df.select("chunk_id", "article_id", *(f"metadata.{c}" for c in ("chunk_index", "num_chunks", "token_count", "chunk_chars")), F.col("metadata.truncated_article").alias("truncated"))
+
+
+@query(
+    f"WITH c AS ({_chunk(450, 80)}), s AS (SELECT count(*) AS articles_read, count_if(length(coalesce(x.content, '')) < 300) AS short_articles, count_if({_strip(chr(99) + 'oalesce(x.content, ' + repr('') + ')')} = '') AS empty_articles FROM {_ONCE}) "
+    "SELECT 'token' AS strategy, count(*) AS chunks_written, 0 AS truncated_articles, CAST(sum(token_count) AS BIGINT) AS total_chunk_tokens, min(token_count) AS min_chunk_tokens, max(token_count) AS max_chunk_tokens, CAST(sum(chunk_chars) AS BIGINT) AS total_chunk_chars, min(chunk_chars) AS min_chunk_chars, max(chunk_chars) AS max_chunk_chars, "
+    "any_value(articles_read) AS articles_read, any_value(short_articles) AS short_articles, any_value(empty_articles) AS empty_articles, count(*) / any_value(articles_read) AS avg_chunks_per_article, sum(token_count) / count(*) AS avg_chunk_tokens, sum(chunk_chars) / count(*) AS avg_chunk_chars FROM c, s"
+)
+def chunk_token_stats(spark: SparkSession, folder: str) -> DataFrame:
+    articles = once(spark, folder)
+    return chunking.chunk_stats(articles, chunking.chunks(articles))
+
+
+@query()
+def chunk_tail_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunks(once(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=30))
+
+
+@query()
+def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunks(once(spark, folder), ChunkingConfig("langchain_recursive"))
+
+
+@query()
+def chunk_sentence(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunks(once(spark, folder), ChunkingConfig("llamaindex"))
+
+
+@query()
+def chunk_structured(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunks(once(spark, folder), ChunkingConfig("structured"))
+
+
+@query()
+def chunk_experiment_stats(spark: SparkSession, folder: str) -> DataFrame:
+    articles = once(spark, folder)
+    return chunking.chunk_stats(articles, chunking.experiment(articles, [ChunkingConfig(s) for s in chunking.STRATEGIES]))
+
+
+@query()
+def chunk_sizes_stats(spark: SparkSession, folder: str) -> DataFrame:
+    articles = once(spark, folder)
+    out = None
+    for size, overlap in ((256, 50), (384, 64), (512, 100)):
+        part = chunking.chunk_stats(articles, chunking.chunks(articles, ChunkingConfig(chunk_size=size, overlap=overlap))).withColumns({"chunk_size": F.lit(size), "overlap": F.lit(overlap)})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def chunk_flat(spark: SparkSession, folder: str) -> DataFrame:
+    return flat_chunks.flat_chunks(once(spark, folder))
+
+
+@query()
+def chunk_flat_stats(spark: SparkSession, folder: str) -> DataFrame:
+    articles = once(spark, folder)
+    return flat_chunks.flat_stats(articles, flat_chunks.flat_chunks(articles))
+
+
+# splits
+_IDS = ", ".join(f"'{i}'" for i in KEEP_IDS)
+_KEPT = f"(SELECT *, row_number() OVER (ORDER BY row_id) <= {FIRST_ROWS} AS by_position FROM article_records) WHERE by_position OR article_id IN ({_IDS})"
+
+
+@query(f"SELECT row_id, article_id, by_position FROM {_KEPT}")
+def split_first_or_listed(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.first_or_listed(records(spark, folder), FIRST_ROWS, KEEP_IDS, "row_id").select("row_id", "article_id", "by_position")
+
+
+@query(f"SELECT row_id, article_id FROM article_records ORDER BY row_id LIMIT {FIRST_ROWS}")
+def split_first(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.first_rows(records(spark, folder), FIRST_ROWS, "row_id").select("row_id", "article_id")
+
+
+@query(f"SELECT (SELECT count(*) FROM article_records) AS total, count_if(by_position) AS kept_by_position, count_if(NOT by_position) AS kept_by_id, count(DISTINCT CASE WHEN article_id IN ({_IDS}) THEN article_id END) AS found, {len(KEEP_IDS)} - count(DISTINCT CASE WHEN article_id IN ({_IDS}) THEN article_id END) AS not_found FROM {_KEPT}")
+def split_stats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    return splits.reducer_stats(rows, splits.first_or_listed(rows, FIRST_ROWS, KEEP_IDS, "row_id"), KEEP_IDS)
+
+
+@query("SELECT category, row_id FROM (SELECT category, row_id, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '0')), row_id) AS r FROM article_records WHERE category IS NOT NULL) WHERE r <= 50")
+def sample_per_category(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.sample_per_group(records(spark, folder), "category", "row_id", 50).select("category", "row_id")
+
+
+# questions and answers
+_REFS = "(SELECT id, unnest(CASE WHEN article_id IS NULL THEN [] WHEN article_id LIKE '[%' THEN CAST(CAST(article_id AS JSON) AS BIGINT[]) ELSE [TRY_CAST(article_id AS BIGINT)] END) AS article_id FROM qa_output)"
+
+
+@query(f"SELECT id, article_id FROM {_REFS}")
+def qa_references(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.references(table(spark, folder, "qa_output"))
+
+
+@query(f"SELECT id, article_id FROM {_REFS} r WHERE NOT EXISTS (SELECT 1 FROM article_records a WHERE TRY_CAST(a.article_id AS BIGINT) = r.article_id)")
+def qa_missing_references(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.missing_references(table(spark, folder, "qa_output"), records(spark, folder))
+
+
+@query(f"SELECT split, count(DISTINCT TRY_CAST(article_id AS BIGINT)) AS articles FROM article_records WHERE TRY_CAST(article_id AS BIGINT) IN (SELECT article_id FROM {_REFS}) GROUP BY 1")
+def qa_references_by_split(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.references_by_split(table(spark, folder, "qa_output"), records(spark, folder))
+
+
+@query("SELECT coalesce(nullif(qa_type, ''), 'single-article') AS qa_type, count(*) AS n FROM qa_output GROUP BY 1")
+def qa_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.type_counts(table(spark, folder, "qa_output"))
+
+
+@query("SELECT count(*) AS total, count_if(is_possible) AS possible, count_if(NOT is_possible) AS impossible, count_if(is_possible) * 100.0 / count(*) AS possible_pct, count_if(NOT is_possible) * 100.0 / count(*) AS impossible_pct, count_if(is_possible AND coalesce(len(answers), 0) = 0) AS possible_without_answer, count_if(NOT is_possible AND coalesce(len(answers), 0) > 0) AS impossible_with_answer FROM qa_output")
+def qa_validation(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.validation(table(spark, folder, "qa_output"))
+
+
+@query("SELECT coalesce(question, '') AS question, count(*) AS n FROM qa_output GROUP BY 1 HAVING count(*) > 1")
+def qa_duplicate_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "qa_output").groupBy(F.coalesce("question", F.lit("")).alias("question")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def qa_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of each single article in the order of their ids."""
+    rows = table(spark, folder, "qa_output").where("article_id is not null and article_id not like '[%'")
+    item = F.struct("id", "question", "qa_type", "answers", "is_possible", "plausible_answers")
+    # items of one article: a handful, as generated per prompt; rewritten records stay in
+    grouped = rows.groupBy("article_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return grouped.withColumn("items", F.transform("items", lambda x: F.struct(*(x[c].alias(c) for c in ("question", "qa_type", "answers", "is_possible", "plausible_answers")))))
+
+
+@query()
+def qa_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.repair(qa_groups(spark, folder))
+
+
+@query()
+def qa_repair_cross(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "qa_output").where("article_id like '[%'")
+    item = F.struct("question", "qa_type", "answers", "is_possible", "plausible_answers")
+    return qa.repair_cross(rows.select(F.regexp_extract("id", r"^cross_(\d+)_", 1).alias("group_id"), T.id_list(F.col("article_id")).alias("article_ids"), F.array(item).alias("items")))
+
+
+@query(
+    "SELECT id, CASE WHEN article_id IS NULL THEN '' WHEN article_id LIKE '[%' THEN array_to_string(CAST(CAST(article_id AS JSON) AS BIGINT[]), '; ') ELSE CAST(TRY_CAST(article_id AS BIGINT) AS VARCHAR) END AS article_id, coalesce(question, '') AS question, coalesce(qa_type, '') AS qa_type, coalesce(array_to_string(answers, '; '), '') AS answers, "
+    "CASE WHEN is_possible THEN 'True' WHEN NOT is_possible THEN 'False' ELSE '' END AS is_possible, coalesce(array_to_string(plausible_answers, '; '), '') AS plausible_answers, coalesce(array_to_string(source_article_ids, '; '), '') AS source_article_ids FROM qa_output"
+)
+def qa_export(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.flat(table(spark, folder, "qa_output"))
+
+
+@query(f"SELECT a.article_id FROM (SELECT DISTINCT article_id FROM article_records WHERE article_id IS NOT NULL) a WHERE article_id NOT IN (SELECT CAST(article_id AS VARCHAR) FROM {_REFS} WHERE article_id IS NOT NULL)")
+def qa_unprocessed(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.unprocessed(records(spark, folder).where("article_id is not null").select("article_id").distinct(), table(spark, folder, "qa_output"))
+
+
+@query()
+def qa_generation(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.repair(qa.generate(qa.prompts(once(spark, folder)), qa.echo_provider))
+
+
+# similarity
+@query()
+def tfidf_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.pairs(similarity.weights(similarity.sampled(records(spark, folder)))).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def cross_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.cross_groups(records(spark, folder)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def cross_triples(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.triples(records(spark, folder))
+
+
+# retrieval
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "text")
+
+
+_BM25 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^{_B}]+') AS w FROM documents),
+s AS (SELECT avg(len(w)) AS mean, count(*) AS n FROM d),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(question), '[^{_B}]+'))) AS term FROM eval_items),
+p AS (SELECT doc_id, any_value(len(w)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+r AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 10
+"""
+
+
+@query(_BM25)
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.bm25(corpus(spark, folder), questions(spark, folder)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 100."""
+    rows = table(spark, folder, "embeddings")
+    return rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+_DENSE = """
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings e)) WHERE rank <= 10
+"""
+
+
+@query(f"SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({_DENSE})")
+def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.dense(*vectors(spark, folder)).withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score", "rank")
+
+
+_GOLD = "(SELECT q.vec_id AS query_id, e.vec_id AS doc_id FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q JOIN embeddings e USING (label) WHERE q.label IS NOT NULL)"
+
+
+@query(f"""
+WITH r AS ({_DENSE}), g AS {_GOLD}, n AS (SELECT query_id, count(*) AS relevant FROM g GROUP BY 1),
+h AS (SELECT r.query_id, r.rank FROM r JOIN g USING (query_id, doc_id)),
+p AS (SELECT query_id, count_if(rank <= 1) AS h1, count_if(rank <= 3) AS h3, count_if(rank <= 5) AS h5, count_if(rank <= 10) AS h10, 1 / min(rank) AS mrr, sum(1 / log2(rank + 1.0)) AS dcg FROM h GROUP BY 1)
+SELECT n.query_id, relevant, coalesce(h1, 0) / relevant AS recall_1, coalesce(h3, 0) / relevant AS recall_3, coalesce(h5, 0) / relevant AS recall_5, coalesce(h10, 0) / relevant AS recall_10,
+  CAST(coalesce(h1, 0) > 0 AS INT) AS hit_1, CAST(coalesce(h3, 0) > 0 AS INT) AS hit_3, CAST(coalesce(h5, 0) > 0 AS INT) AS hit_5, CAST(coalesce(h10, 0) > 0 AS INT) AS hit_10, round(coalesce(mrr, 0), 6) AS mrr_10,
+  round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg_10 FROM n LEFT JOIN p USING (query_id)
+""")
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    gold = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(rows.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
+    return retrieval.metrics(retrieval.dense(*vectors(spark, folder)), gold).withColumns({c: F.round(c, 6) for c in ("mrr_10", "ndcg_10")})
+
+
+@query()
+def retrieval_mean_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.mean_metrics(retrieval_metrics(spark, folder))
+
+
+def titles(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus(spark, folder).select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
+
+
+@query()
+def hybrid_reciprocal_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    q = questions(spark, folder)
+    return retrieval.reciprocal_ranks(retrieval.bm25(corpus(spark, folder), q, 50), retrieval.bm25(titles(spark, folder), q, 50)).withColumn("score", F.round("score", 9))
+
+
+@query()
+def hybrid_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    q = questions(spark, folder)
+    return retrieval.weighted(retrieval.bm25(titles(spark, folder), q, 50), retrieval.bm25(corpus(spark, folder), q, 50), 0.2).withColumn("score", F.round("score", 6))
+
+
+@query()
+def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.context(retrieval.bm25(corpus(spark, folder), questions(spark, folder), 5), corpus(spark, folder))
+
+
+_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+_A, _G = _NORMAL.format("answers[1]"), _NORMAL.format("answers[2]")
+
+
+@query(f"""
+WITH x AS (SELECT id, question, {_A} AS a, {_G} AS g FROM qa_output WHERE len(answers) >= 2)
+SELECT id, question, CAST(a = g AS INT) AS em,
+  round(CASE WHEN a = '' OR g = '' THEN CAST(a = g AS INT) ELSE 2.0 * (SELECT coalesce(sum(least(m, n)), 0) FROM (SELECT w, count(*) AS m FROM (SELECT unnest(string_split(a, ' ')) AS w) GROUP BY 1) JOIN (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(g, ' ')) AS w) GROUP BY 1) USING (w)) / (len(string_split(a, ' ')) + len(string_split(g, ' '))) END, 6) AS f1 FROM x
+""")
+def answer_scores(spark: SparkSession, folder: str) -> DataFrame:
+    a, g = F.get("answers", F.lit(0)), F.get("answers", F.lit(1))
+    return table(spark, folder, "qa_output").where("size(answers) >= 2").select("id", "question", retrieval.exact_match(a, g).alias("em"), F.round(retrieval.token_f1(a, g), 6).alias("f1"))
+
+
+@query()
+def answer_rouge_l(spark: SparkSession, folder: str) -> DataFrame:
+    a, g = F.get("answers", F.lit(0)), F.get("answers", F.lit(1))
+    return table(spark, folder, "qa_output").where("size(answers) >= 2").select("id", "question", F.round(retrieval.rouge_l(a, g), 6).alias("rouge_l"))
