@@ -21,13 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reedmill.functions.session import cut_lineage
+
 #: What may stand behind a cut: replacement characters, a broken tag, or an ellipsis with a few words in brackets or not.
 TAIL = r"(?U)(�+|</?[a-z]{0,12}|\s*[\[(]\s*(…|\.\.\.)\s*[\])]|(…|\.\.\.)\s*([\[(«]?\s*\p{L}[\p{L} ]{1,24}[\])»]?)?)\s*$"
 COMPLETE = r"[.!?。！？]+[\"'”’»)\]]*$"
 #: A final number with a point may be a cut date or amount.
 NUMBER = r"\d[.]$"
 LIST_ENTRY = r"^\s*[-*•–]\s"
-SENTENCE_END = r"[.!?…]+[\"”’»)\]]*(?=\s|$)|(\s*\n)+"
+SENTENCE_END = r"[.!?…]+[\"”’»)\]]*(?=\s|$)|\n"
+SEPARATOR = "[^\\p{L}\\p{M}\\p{N}\u0003]+"
 #: Part of the occurrences of a trigram that end something, from which it counts as terminal.
 TERMINAL = 0.04
 #: The same for ends of texts against the trigram one word earlier.
@@ -36,30 +39,41 @@ SHARED = 0.2
 FREQUENT = 20
 #: Characters that hold the last words of a text and what stands before them.
 LAST = 900
+#: Characters that hold what may stand behind a cut.
+TAIL_SIZE = 160
 #: The words before the final ones by which two ends count as different.
 BEFORE = (30, 18)
 
 
 def words(text: Column) -> Column:
-    """The words of a text, numbers as 0; a sentence or line end is a word of its own, except at the end."""
-    marked = F.regexp_replace(text, SENTENCE_END, " \u0003 ")
-    plain = F.regexp_replace(F.regexp_replace(marked, "[^\\p{L}\\p{M}\\p{N}\u0003]+", " "), r"\p{Nd}+", "0")
-    return F.split(F.trim(F.regexp_replace(plain, "[ \u0003]+$", "")), " +")
+    """The words of a text, digits as 0; a sentence or line end is a word of its own."""
+    digits = F.translate(text, "123456789", "000000000")
+    return F.split(F.regexp_replace(digits, SENTENCE_END, " \u0003 "), SEPARATOR)
+
+
+def plainly_complete(text: Column) -> Column:
+    """Whether a text ends with a single full stop that is not behind a digit: told from three characters."""
+    last = F.substring(text, -3, 3)
+    return last.rlike(r"[^.!?\d][.!?]$") & ~last.startswith("..")
 
 
 def bodies(documents: DataFrame, key: str) -> DataFrame:
-    """Per document with a text: the text, and its body, without what stands behind a cut."""
-    text = F.regexp_replace("text", r"(?U)[\s\p{Cf}]+$", "")
-    d = documents.select(F.col(key).alias("doc"), text.alias("text")).where("text <> ''")
-    return d.withColumn("body", F.regexp_replace(F.regexp_replace("text", TAIL, ""), r"(?U)\s+$", ""))
+    """Per document with a text: the text before its last characters, those, and those without what stands behind a cut."""
+    d = documents.select(F.col(key).alias("doc"), F.rtrim("text").alias("text")).where("text <> ''")
+    blank = F.substring("text", -TAIL_SIZE, TAIL_SIZE).rlike(r"(?U)^[\s\p{Cf}]+$")
+    d = d.withColumn("text", F.when(blank, F.regexp_replace("text", r"(?U)[\s\p{Cf}]+$", "")).otherwise(F.col("text")))
+    d = d.select("doc", F.substring("text", F.lit(1), F.greatest(F.length("text") - TAIL_SIZE, F.lit(0))).alias("head"), F.regexp_replace(F.substring("text", -TAIL_SIZE, TAIL_SIZE), r"(?U)[\s\p{Cf}]+$", "").alias("tail"))
+    return d.withColumn("end", F.regexp_replace(F.regexp_replace("tail", TAIL, ""), r"(?U)\s+$", "")).where("tail <> ''")
 
 
 def trigram_counts(documents: DataFrame, key: str) -> DataFrame:
     """Of each trigram inside the texts (its hash): how often a sentence or line ends behind it, and how often it stands at all."""
-    w = bodies(documents, key).select(words(F.col("body")).alias("words"))
+    done = plainly_complete(F.col("text"))
+    others = bodies(documents.where(~done), key).select(F.concat("head", "end").alias("text"))
+    w = documents.where(done).select("text").unionByName(others).select(words(F.col("text")).alias("words"))
     gram = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
     # one number per trigram, the lowest bit telling whether it ends something
-    inner = F.transform(F.sequence(F.lit(0), F.size("words") - 4), lambda i: F.shiftleft(gram(i), 1).bitwiseOR(F.when(F.get("words", i + 3) == "\u0003", 1).otherwise(0)))
+    inner = F.transform(F.sequence(F.lit(0), F.size("words") - 4), lambda i: F.shiftleft(gram(i), 1).bitwiseOR((F.get("words", i + 3) == "\u0003").cast("long")))
     counted = w.where(F.size("words") >= 4).select(F.explode(inner).alias("g")).groupBy("g").count()
     ends = F.when(F.col("g").bitwiseAND(1) == 1, F.col("count")).otherwise(0)
     return counted.groupBy(F.shiftright("g", 1).alias("gram")).agg(F.sum(ends).alias("ends"), F.sum("count").alias("all"))
@@ -67,11 +81,13 @@ def trigram_counts(documents: DataFrame, key: str) -> DataFrame:
 
 def open_ends(documents: DataFrame, key: str) -> DataFrame:
     """The documents that do not end like a sentence, with their last trigrams and the shape of their last line."""
-    d = bodies(documents, key)
-    ellipsis = F.col("text").rlike(r"(…|\.\.\.)$") & F.col("body").rlike(r"(?U)[\p{L}\p{N}]$")
-    line = F.regexp_extract("body", r"([^\n]*)$", 1)
-    d = d.withColumns({"marked": (F.col("body") != F.col("text")) & ~ellipsis, "number": F.col("body").rlike(NUMBER), "line": line, "words": words(F.substring("body", -LAST, LAST))})
-    d = d.where((F.col("body") != "") & (F.col("marked") | F.col("number") | ~F.col("body").rlike(COMPLETE)))
+    d = bodies(documents.where(~plainly_complete(F.col("text"))), key)
+    ellipsis = F.col("tail").rlike(r"(…|\.\.\.)$") & F.col("end").rlike(r"(?U)[\p{L}\p{N}]$")
+    d = d.withColumns({"marked": (F.col("end") != F.col("tail")) & ~ellipsis, "number": F.col("end").rlike(NUMBER)})
+    d = d.where((F.col("marked") | F.col("number") | ~F.col("end").rlike(COMPLETE)) & (F.concat("head", "end") != ""))
+    d = d.withColumn("body", F.concat("head", "end")).withColumn("line", F.substring_index("body", "\n", -1))
+    some = F.filter(words(F.substring("body", -LAST, LAST)), lambda x: x != "")
+    d = d.withColumn("words", some).withColumn("words", F.when(F.try_element_at("words", F.lit(-1)) == "\u0003", F.slice("words", 1, F.size("words") - 1)).otherwise(F.col("words")))
     at = lambda i: F.try_element_at("words", F.lit(i))
     gram = lambda *i: F.shiftright(F.shiftleft(F.xxhash64(*map(at, i)), 1), 1)
     n = F.size("words")
@@ -84,14 +100,13 @@ def open_ends(documents: DataFrame, key: str) -> DataFrame:
         (~F.trim("body").contains("\n") & ~F.col("body").rlike(r"[.!?…][\"”’»)\]]*\s") & ~F.col("marked")).alias("heading"),
         gram(-3, -2, -1).alias("gram"),
         gram(-4, -3, -2).alias("earlier"),
-        F.xxhash64("line").alias("line"),
         F.xxhash64(F.slice("words", start, F.greatest(n - BEFORE[1] + 6 - start, F.lit(0)))).alias("before"),
     )
 
 
 def cut_off(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Keys of the documents that were cut off, with the counts that tell so."""
-    last = open_ends(documents, key)
+    last = cut_lineage(open_ends(documents, key))
     counts = trigram_counts(documents, key)
     tails = last.groupBy("gram").agg((F.countDistinct("before") - 1).alias("tails"))
     near = counts.select(F.col("gram").alias("earlier"), F.col("all").alias("around"))
