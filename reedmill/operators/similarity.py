@@ -74,7 +74,8 @@ def cross_groups(articles: DataFrame, sample: int = SAMPLE, size: int = GROUP, m
             m = np.zeros((len(ids), len(terms)))
             m[pdf["i"].to_numpy(), t] = pdf["w"].to_numpy()
             found = sorted(greedy(m @ m.T, size, least), key=lambda g: -g[0])[:most]
-        return pd.DataFrame({"category": [pdf["category"].iloc[0]] * len(found) if len(pdf) else [], "group_no": range(len(found)), "similarity": [s for s, _ in found], "article_ids": [[ids[i] for i in g] for _, g in found]})
+        text = lambda x: pd.Series(x, dtype=object)  # noqa: E731  also where there is no group
+        return pd.DataFrame({"category": text([pdf["category"].iloc[0]] * len(found) if found else []), "group_no": pd.Series(range(len(found)), dtype="int32"), "similarity": pd.Series([s for s, _ in found], dtype="float64"), "article_ids": text([[ids[i] for i in g] for _, g in found])})
 
     return weights(rows).groupBy("category").applyInPandas(work, "category string, group_no int, similarity double, article_ids array<string>")
 
