@@ -185,30 +185,44 @@ def large(column: str, config: ChunkingConfig) -> Column:
     return ~blank(column) & (F.length(column) > config.small_article_chars)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, also where functions over array elements use it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_units(text: Column, size: int, overlap: int) -> Column:
     """The units of the token strategy as a native expression."""
     step = max(1, size - overlap)
     lead = F.length(F.regexp_extract(text, f"^[{P.WS}]*", 0))
-    words = F.regexp_extract_all(text, F.lit(f"{P.TOKEN}[{P.WS}]*"), 0)
-    n = F.size(words)
-    windows = F.when(n <= size, F.least(n, F.lit(1))).otherwise(1 + F.ceil((n - size) / step)).cast("int")
+    found = F.struct(lead.alias("lead"), F.regexp_extract_all(text, F.lit(f"{P.TOKEN}[{P.WS}]*"), 0).alias("words"))
+
+    def windows(x: Column) -> Column:
+        words, n = x["words"], F.size(x["words"])
+        count = F.when(n <= size, F.least(n, F.lit(1))).otherwise(1 + F.ceil((n - size) / step)).cast("int")
 
-    def unit(k: Column) -> Column:
-        first = (k - 1) * step
-        body = T.strip(F.array_join(F.slice(words, first + 1, size), ""))
-        start = lead + F.length(F.array_join(F.slice(words, 1, first), ""))
-        return F.struct(body.alias("text"), start.cast("int").alias("start"), (start + F.length(body)).cast("int").alias("stop"), F.least(F.lit(size), n - first).cast("int").alias("tokens"), F.lit("content").alias("structure"))
+        def unit(k: Column) -> Column:
+            first = (k - 1) * step
+            body = T.strip(F.array_join(F.slice(words, first + 1, size), ""))
+            start = x["lead"] + F.length(F.array_join(F.slice(words, 1, first), ""))
+            return F.struct(body.alias("text"), start.cast("int").alias("start"), (start + F.length(body)).cast("int").alias("stop"), F.least(F.lit(size), n - first).cast("int").alias("tokens"), F.lit("content").alias("structure"))
 
-    return F.when(windows > 0, F.transform(F.sequence(F.lit(1), windows), unit)).otherwise(F.array().cast(UNITS))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), unit)).otherwise(F.array().cast(UNITS))
+
+    return let(found, windows)
 
 
 def merged_words(left: Column, right: Column) -> Column:
     """Two texts as words, with the largest overlap of the left's end and the right's beginning only once."""
-    a, b = (F.filter(F.split(T.strip(x), P.BLANKS), lambda w: w != "") for x in (left, right))
-    most = F.least(F.size(a), F.size(b))
-    same = lambda k: F.slice(a, F.size(a) - k + 1, k) == F.slice(b, 1, k)
-    shared = F.when(most > 0, F.try_element_at(F.filter(F.sequence(most, F.lit(1), F.lit(-1)), same), F.lit(1)))
-    return F.array_join(F.concat(a, F.slice(b, 1 + F.coalesce(shared, F.lit(0)), F.greatest(F.size(b), F.lit(1)))), " ")
+    parted = F.struct(*(F.filter(F.split(T.strip(x), P.BLANKS), lambda w: w != "").alias(n) for n, x in (("a", left), ("b", right))))
+
+    def join(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        most = F.least(F.size(a), F.size(b))
+        same = lambda k: F.slice(a, F.size(a) - k + 1, k) == F.slice(b, 1, k)
+        shared = F.when(most > 0, F.try_element_at(F.filter(F.sequence(most, F.lit(1), F.lit(-1)), same), F.lit(1)))
+        return F.array_join(F.concat(a, F.slice(b, 1 + F.coalesce(shared, F.lit(0)), F.greatest(F.size(b), F.lit(1)))), " ")
+
+    return let(parted, join)
 
 
 def merge_small_tail(units: Column, least: int) -> Column:
