@@ -33,5 +33,8 @@ GLUED_WORDS = [
 
 PREFIX = rf"(?U)\b({'|'.join(GLUED_PREFIXES)})(?=[A-ZÀ-ỸĐ])"
 NUMBER_PREFIX = rf"(?U)\b{GLUED_NUMBER_PREFIX}(?=\p{{Nd}})"
+#: The words as a pattern, those with one first letter together, which spares most comparisons.
+_FIRST = sorted({w[0] for w in GLUED_WORDS})
+ANY_GLUED = "|".join(f"{a}(?:{'|'.join(w[1:] for w in GLUED_WORDS if w[0] == a)})" for a in _FIRST)
 #: Inserting at every place from which only listed words follow up to a word end equals inserting until nothing changes.
-GLUED = rf"(?iuU)(?<=[{GLUED_AFTER}])(?=(?:{'|'.join(GLUED_WORDS)})+\b)"
+GLUED = rf"(?iuU)(?<=[{GLUED_AFTER}])(?=(?:{ANY_GLUED})+\b)"

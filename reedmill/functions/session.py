@@ -27,3 +27,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def pair_hash(*columns: str) -> list:
     """Two columns, together a 128-bit fingerprint of the given columns."""
     return [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer parts than those (a small file is one part); else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

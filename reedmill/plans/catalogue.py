@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reedmill.functions import text as T
-from reedmill.functions.session import table
+from reedmill.functions.session import spread, table
 from reedmill.operators import chunking, flat_chunks, ingest, profile, qa, retrieval, similarity, splits, strict_csv
 from reedmill.operators.chunking import ChunkingConfig
 
@@ -37,7 +37,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
     """The records as raw rows: id and the four text columns."""
-    return records(spark, folder).select("row_id", F.col("article_id").alias("id"), "title", "description", "content", "category")
+    return spread(records(spark, folder).select("row_id", F.col("article_id").alias("id"), "title", "description", "content", "category"))
 
 
 def once(spark: SparkSession, folder: str) -> DataFrame:
@@ -402,7 +402,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 _BM25 = f"""
