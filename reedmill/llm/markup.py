@@ -65,8 +65,14 @@ SUSPECT = r"(?m)[<&*_`~\\$|\[{]|''|==|^\s*#{1,6}\s|^\s*>"
 BEARING = ("inline", "wiki", "latex", "fence", "math", "link", "heading", "quote", "strong", "soft", "code")
 #: Weights of the token kinds, unless learnt ones are given.
 WEIGHTS = {"word": 1.0, "sign": 0.1, "dropped": -4.0, "tag": -2.0, "entity": -0.5, "template": -2.0, "rule": -1.0} | dict.fromkeys(BEARING, 0.2)
-#: Parts outside the region go only if they hold fewer words than this, or than tags.
-FEW = 3
+#: Kinds of markup that bear no text.
+BARE = ("dropped", "tag", "inline", "template", "rule")
+#: Words of a text from which menus can be told from its lists.
+JUDGED = 30
+#: Navigation: elements for it, and lists without lists inside.
+NAVIGATION = re.compile(r"<nav\b[^>]*>.*?</nav\s*>|<(?P<list>ul|ol)\b[^>]*>(?P<items>(?:(?!<(?:ul|ol)\b).)*?)</(?P=list)\s*>", re.S | re.I)
+#: What entries of menus say.
+MENU = frozenset(("trang chủ", "trang nhất", "home", "menu", "xem", "xem thêm", "xem tiếp", "đọc thêm", "đọc tiếp", "chia sẻ", "liên hệ", "đăng nhập", "đăng ký", "tìm kiếm", "bình luận", "về đầu trang", "quay lại", "trang trước", "trang sau", "sơ đồ trang"))
 #: Largest number of texts from which weights are learnt.
 SAMPLE = 4000
 
@@ -110,11 +116,22 @@ def log_odds(counts: Counter) -> dict[str, float]:
     return out | {"word": max(out["word"], 0.1), "sign": max(out["sign"], 0.0), "dropped": min(out["dropped"], -0.1)} | {k: max(out[k], 0.1) for k in BEARING}
 
 
+def menus(text: str) -> list[tuple[int, int]]:
+    """Start and end of each navigation element, and of each list of menu entries, or of links with a menu entry among them."""
+    out = []
+    for m in NAVIGATION.finditer(text):
+        items = [x for x in re.split(r"</?li\b[^>]*>", m.group("items") or "", flags=re.I) if x.strip()]
+        known = [re.sub(r"<[^>]*>", "", x).strip().casefold() in MENU for x in items]
+        if m.group("items") is None or any(known) and all(k or re.fullmatch(r"\s*<a\b[^>]*>[^<]*</a\s*>\s*", x, re.I) for k, x in zip(known, items, strict=True)):
+            out.append(m.span())
+    return out
+
+
 def region(text: str, weights: dict[str, float]) -> tuple[int, int]:
-    """Start and end of the contiguous region with the largest sum of weights.
+    """Start and end of the contiguous region with the largest sum of weights, widened to all other text.
 
-    What lies before or behind it stays too if it has several words, and at least as many as tags, or if the text
-    is too short to judge.
+    What lies before the first or behind the last text that is no navigation goes.  In texts that are too short to
+    judge nothing counts as navigation.
     """
     best, span, total, start = 0.0, (0, 0), 0.0, None
     found = list(tokens(text))
@@ -124,13 +141,18 @@ def region(text: str, weights: dict[str, float]) -> tuple[int, int]:
         total += weights.get(kind, 0.0)
         if total > best:
             best, span = total, (start, b)
-    outside = [[k for k, a, b in found if b <= span[0]], [k for k, a, b in found if a >= span[1]]]
-    whole = [p.count("word") >= max(FEW, len(p) - p.count("word") - p.count("sign")) or 0 < p.count("word") and sum(k == "word" for k, _, _ in found) < 10 * FEW for p in outside]
-    a, b = 0 if whole[0] else span[0], len(text) if whole[1] else span[1]
+    outside = [t for t in found if (t[2] <= span[0] or t[1] >= span[1]) and t[0] not in BARE]
+    gone = menus(text) if sum(k == "word" for k, _, _ in found) >= JUDGED else []
+    stays = [t for t in outside if not any(x <= t[1] < y for x, y in gone)]
+    a, b = min([span[0] if best else len(text), *(t[1] for t in stays)]), max([span[1], *(t[2] for t in stays)])
     for kind, start, stop in reversed([t for t in found if t[2] <= a]):  # markup directly around the region shapes it
-        if text[stop:a].strip() or kind in ("word", "dropped"):
+        if text[stop:a].strip() or kind not in BARE[1:] or any(x <= start < y for x, y in gone):
             break
         a = start
+    for kind, start, stop in [t for t in found if t[1] >= b]:
+        if text[b:start].strip() or kind not in BARE[1:] or any(x <= start < y for x, y in gone):
+            break
+        b = stop
     return a, b
 
 

@@ -45,6 +45,18 @@ def test_region_is_the_largest_sum():
     assert text[a:b].strip() == body
 
 
+def test_words_outside_the_region_stay():
+    body = "<p>" + "Một hai ba bốn năm. " * 20 + "</p>"
+    table = "<table><tr><th>Mục</th><th>Số</th></tr><tr><td>Giá</td><td>12</td></tr></table>"
+    for heavy in (WEIGHTS, WEIGHTS | {"tag": -8.0, "sign": 0.0}):
+        for part, want in ((table, ["Mục\tSố", "Giá\t12"]), ("<h2>Hai chữ</h2>", ["§ Hai chữ"]), ("<ul><li>Một</li><li>Hai</li></ul>", ["- Một", "- Hai"]), ("<div><pre>x = 1</pre></div>", ["    x = 1"]), ("<p><i>An</i></p>", ["An"])):
+            got = [x for x in cleaned(part + body + part, heavy).split("\n") if x.strip()]
+            assert got == [*want, "Một hai ba bốn năm. " * 19 + "Một hai ba bốn năm.", *want]
+    menu = '<ul><li><a href="/">Trang chủ</a></li><li><a href="/t">Thời sự</a></li></ul>'
+    for part in (menu, "<nav><a href='/t'>Thời sự</a></nav>", "<script>var z=1;</script>", "<!-- ẩn -->"):
+        assert cleaned(part + body + part).strip() == ("Một hai ba bốn năm. " * 20).strip()
+
+
 def test_frames(spark):
     rows = [(1, "<p>Một hai</p>\n<ul></ul>\nba bốn", None), (2, "một", "**hai** ba"), (3, None, ""), (4, "R&D", "x" * 500_000), (4, "R&D", "x")]
     df = spark.createDataFrame(rows, "row_id long, content string, description string").selectExpr("*", "1 as field", "2 as clean")
