@@ -1,7 +1,7 @@
 """Problem 4: question-answer pairs whose answers do not properly answer, with the type of the defect.
 
-Method: the openings of all responses are clustered by MinHash over shingles of five words, verified at a similarity
-of 0.8; a cluster that recurs behind unrelated prompts and speaks in the voice of an answerer that declines is a
+Method: the openings of all responses are clustered by the similarity of their sets of hashed shingles of five words,
+0.8 and more, without MinHash bands: openings are so short that all such pairs are found exactly; a cluster that recurs behind unrelated prompts and speaks in the voice of an answerer that declines is a
 refusal template, and its shingles reveal the refusals among all answers.  Checks of copying, language and
 termination label the rest; what a complete ending is follows from counts of word pairs in all answers.
 
@@ -15,7 +15,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +28,9 @@ SIMILARITY = 0.8
 OPENING = 12
 #: Different openings of prompts from which prompts count as unrelated.
 UNRELATED = 2
-#: MinHash: values and values per band.
-HASHES, ROWS = 24, 2
+#: Most shingles of an opening.  Up to these two sets are similar only if they are equal or one has one shingle more.
+MOST = OPENING - SHINGLE + 1
+assert (MOST - 1) / (MOST + 1) < SIMILARITY and (MOST - 2) / MOST < SIMILARITY
 
 #: Who speaks (without accents).
 SPEAKERS = "toi minh em chung toi tro ly mo hinh ngon ngu i we je ich yo eu ako saya aku ik ja".split()
@@ -142,25 +142,33 @@ def shingles(column: str = "words") -> F.Column:
     return F.array_distinct(F.when(n <= SHINGLE, F.array(F.xxhash64(F.array_join(column, " ")))).otherwise(F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(column, i, SHINGLE), " ")))))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(s, root): of each node of some edges (a, b) the smallest node it is connected with."""
+    both = cut_lineage(edges.union(edges.select("b", "a")))
+    label = both.groupBy(F.col("a").alias("s")).agg(F.min("b").alias("root")).select("s", F.least("s", "root").alias("root"))
+    while True:
+        near = both.join(label.select(F.col("s").alias("b"), "root"), "b").groupBy(F.col("a").alias("s")).agg(F.min("root").alias("near"))
+        step = label.join(near, "s").select("s", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = step.select(F.col("s").alias("root"), F.col("root").alias("next"))
+        label = cut_lineage(step.join(jump, "root").select("s", "old", F.least("root", "next").alias("root")))
+        if label.where("root <> old").isEmpty():
+            return label.select("s", "root")
+        label = label.select("s", "root")
+
+
 def opening_clusters(answers: DataFrame) -> DataFrame:
-    """Per distinct opening: its text, words, shingles, the class it belongs to, and the prompts behind it."""
+    """Per distinct opening: its shingles, the class it belongs to, and the prompts behind it; every opening has a class."""
     opening = F.slice("words", 1, OPENING)
     named = answers.where("not copy").select(opening.alias("words"), "prompt", "voice", "curt")
     distinct = named.groupBy("words").agg(F.collect_set("prompt").alias("prompts"), F.max("voice").alias("voice"), F.max("curt").alias("curt"))
     # prompts: distinct first two words of questions behind one opening, a short list; of the openings only fingerprints move on
-    distinct = distinct.select(F.xxhash64("words").alias("o"), "prompts", "voice", "curt", shingles().alias("sh"))
-    rng = np.random.default_rng(4)
-    seeds = rng.integers(1, 2**62, HASHES).tolist()
-    mins = [F.array_min(F.transform("sh", lambda x, s=s: F.xxhash64(x, F.lit(s)))) for s in seeds]
-    bands = F.array(*(F.xxhash64(F.lit(b), *mins[b * ROWS : (b + 1) * ROWS]) for b in range(HASHES // ROWS)))
-    keyed = distinct.select("o", "sh", F.explode(bands).alias("band"))
-    # each opening is compared with the first of its band, which keeps a band of any size linear
-    first = keyed.groupBy("band").agg(F.min_by("o", "o").alias("p"), F.min_by("sh", "o").alias("psh"))
-    both = F.size(F.array_intersect("sh", "psh"))
-    near = keyed.join(first, "band").where(both >= SIMILARITY * (F.size("sh") + F.size("psh") - both)).groupBy("o").agg(F.min("p").alias("p"))
-    hop = near.select(F.col("o").alias("p"), F.col("p").alias("root"))
-    classed = near.join(hop, "p").select("o", "root")
-    return distinct.join(classed, "o")
+    distinct = cut_lineage(distinct.select(F.xxhash64("words").alias("o"), "prompts", "voice", "curt", F.array_sort(shingles()).alias("sh")).withColumn("s", F.xxhash64("sh")))
+    sets = distinct.select("s", "sh").dropDuplicates(["s"])
+    n = F.size("sh")
+    # each set meets those that it has when one shingle is left out: as many rows as shingles, however often a set recurs
+    less = sets.where(n - 1 >= SIMILARITY * n).select(F.explode(F.transform("sh", lambda x: F.xxhash64(F.filter("sh", lambda y: y != x)))).alias("a"), F.col("s").alias("b"))
+    roots = connected(less.join(sets.select(F.col("s").alias("a")), "a"))
+    return distinct.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
 
 
 def refusal_shingles(clusters: DataFrame) -> DataFrame:

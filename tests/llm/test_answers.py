@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from reedmill.llm.answers import copies, defects, ending, fold, foreign
+from reedmill.llm.answers import OPENING, copies, defects, ending, fold, foreign, opening_clusters
 
 GOOD = ["Đội duy tu đường bộ", "Đội duy tu đường bộ là bên nâng cấp cầu.", "Doi duy tu duong bo la ben nang cap cau.", "Bà Ngạc Lam Thượng", "27/3", "478 mét đường", "“318 học viên”", "Nhà máy R&D"]
 OTHER = ["The main reason was the unusually heavy rain.", "Il s'agit de 921 cas près de Lập Thạnh, An Linh, selon la commission.", "Der Grund war das anhaltende Hochwasser.", "Proyek itu ditunda selama 3 hari.", "약 437명이 참여했다."]
@@ -40,3 +42,25 @@ def test_defects(spark):
     want = [("c", "copies_question"), ("e1", "empty_answer"), ("e2", "empty_answer"), ("e3", "empty_answer"), ("m", "flag_mismatch"), ("o", "other_language"), ("t1", "truncated_answer"), ("t2", "truncated_answer")] + [(f"r{i}", "refusal") for i in range(8)]
     assert got == sorted(want)
     assert defects(df.limit(0)).count() == 0
+
+
+def test_every_opening_has_the_class_of_brute_force(spark):
+    rng = random.Random(3)
+    core = [f"w{i}" for i in range(9)]
+    texts = {tuple(core[: rng.randint(3, 9)]) for _ in range(20)} | {(rng.choice("abcdef"), *core[rng.randint(0, 2) :], *rng.choices("xyz", k=rng.randint(0, 3))) for _ in range(150)} | {(f"u{i}", *core) for i in range(30)} | {("x",)}
+    texts = sorted({t[:OPENING] for t in texts})
+    df = spark.createDataFrame([(list(t), "a b", False, False, False) for t in texts for _ in range(2)], "words array<string>, prompt string, copy boolean, voice boolean, curt boolean")
+    rows = opening_clusters(df).selectExpr("o", "root", "sh").collect()
+    assert len(rows) == len(texts)
+    root = {r.o: r.o for r in rows}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            both = len({*a.sh} & {*b.sh})
+            if both >= 0.8 * len({*a.sh} | {*b.sh}):
+                root[top(a.o)] = top(b.o)
+    pairs = {(r.root, top(r.o)) for r in rows}
+    assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs) < len(texts)
