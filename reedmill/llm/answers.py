@@ -2,7 +2,8 @@
 
 Method: the openings of all responses are clustered by the similarity of their sets of hashed shingles of five words,
 0.8 and more, without MinHash bands: openings are so short that all such pairs are found exactly; a cluster that recurs behind unrelated prompts and speaks in the voice of an answerer that declines is a
-refusal template, and its shingles reveal the refusals among all answers.  Checks of copying, language and
+refusal template; its shingles reveal the refusals among all answers that decline, and all answers that begin like it
+are refusals if most of them decline.  What declines is told by lists of wordings (``DECLINES``).  Checks of copying, language and
 termination label the rest; what a complete ending is follows from counts of word pairs in all answers.
 
 Defined results: a null or empty list of answers, and null answers in it, count as no answer; a null is_possible
@@ -40,11 +41,22 @@ DECLINES = [
     "khong nen dua ra", "khong duoc phep", "chua duoc cung cap", "khong duoc cung cap", "danh bo qua", "xin phep tu choi", "tu choi tra loi", "tu choi noi dung", "tu choi yeu cau", "ngoai pham vi", "khong co thong tin", "khong biet", "khong the dap ung",
     "cannot", "can t", "can not", "unable to", "not able to", "do not have", "don t have", "won t", "will not", "sorry", "decline", "ne peux pas", "ne suis pas", "ne sais pas", "desole", "kann nicht", "kann ich nicht", "leider", "no puedo", "lo siento", "nao posso", "maaf", "tidak bisa", "tidak dapat",
 ]
+#: The same where words are not parted or the verb tells the speaker.
+DECLINES_WITHIN = [
+    *("답변할 수 없", "답변드릴 수 없", "답변해 드릴 수 없", "대답할 수 없", "도와드릴 수 없", "도와 드릴 수 없", "제공할 수 없습니다", "죄송하지만", "죄송합니다"),
+    *("无法回答", "不能回答", "无法提供", "无法协助", "无法帮助", "不能帮助", "很抱歉", "對不起", "对不起", "無法回答", "無法提供", "無法協助", "お答えできません", "お答えすることはできません", "回答できません", "お手伝いできません", "提供できません", "申し訳ありません", "申し訳ございません"),
+    *("не могу ответить", "не могу помочь", "не могу предоставить", "не могу обсуждать", "я не имею доступа", "у меня нет доступа", "у меня нет информации", "вынужден отказаться", "не можу відповісти", "не можу допомогти"),
+    *("non posso rispondere", "non posso aiutar", "non posso fornire", "non sono in grado di", "mi dispiace, ma", "kan ik niet beantwoorden", "kan ik niet helpen", "nie mogę odpowiedzieć", "nie mogę pomóc", "bu soruyu yanıtlayamam", "yardımcı olamıyorum", "yardımcı olamam", "nemohu odpovědět"),
+    *("ไม่สามารถตอบ", "ไม่สามารถช่วย", "ไม่สามารถให้ข้อมูล", "ขออภัย", "لا أستطيع الإجابة", "لا يمكنني الإجابة", "لا أستطيع مساعدتك", "لا يمكنني مساعدتك", "मैं इस प्रश्न का उत्तर नहीं दे सक", "मैं मदद नहीं कर सक"),
+]
 #: Refusals without a speaker, whole.
 CURT = re.compile(r"(?:xin loi |rat tiec |da )?(?:khong the|chua the|tu choi|khong|khong duoc)(?: tra loi| ho tro| giup| phan hoi| cung cap| dap ung| binh luan)(?: duoc| cau hoi nay| yeu cau nay| noi dung nay| cau nay)?(?: a| nhe)?|(?:noi dung|yeu cau|cau hoi)(?: nay)?(?: da)? bi tu choi")
 #: Words that may introduce a repeated question.
 EXTRA = 3
 
+#: Part of the answers of a class that must decline for all of them to count.
+MOSTLY = 0.5
+
 SYLLABLE = re.compile(
     r"(?:ngh|ng|nh|gh|gi|kh|ph|qu|th|tr|ch|[bcdghklmnpqrstvx])?"
     r"(?:(?:oa|oe|uy|ie|ye|uo|ua|ue|uye|oo|[aeiouy])(?:ch|nh|ng|[cmnpt])?|ai|ao|au|ay|eo|eu|ia|ieu|yeu|iu|oai|oay|oao|oeo|oi|uai|uay|ui|uoi|uou|uu|uya|uyu|ya|ye|uay|oi|ei)"
@@ -61,6 +73,9 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+WITHIN = re.compile("|".join(re.escape(fold(x)) for x in canonical(pa.array(DECLINES_WITHIN)).to_pylist()))
+
+
 def copies(question: list[str], answer: list[str]) -> bool:
     """Whether an answer repeats the question, once or more, and adds at most a few words that introduce it."""
     if len(question) < 3 or len(answer) < len(question) - 2:
@@ -121,7 +136,7 @@ def features(pairs: DataFrame) -> DataFrame:
                 qw, aw = WORD.findall(fold(q or "")), [re.sub(r"\d+", "0", fold(w)) for w in raw]
                 aw_full = WORD.findall(fold(a))
                 joined = f" {' '.join(aw)} "
-                spoken = any(f" {s} " in joined for s in SPEAKERS) and any(f" {d} " in joined for d in DECLINES)
+                spoken = any(f" {s} " in joined for s in SPEAKERS) and any(f" {d} " in joined for d in DECLINES) or WITHIN.search(fold(a)) is not None
                 stops = [bool(re.match(r"[\"'”’»)\]]*[.!?。！？;](?!\.\.)[\"'”’»)\]]*(?:\s|$)|[\"'”’»)\]]*\s*\n", a[e:])) for e in spans]
                 row = (" ".join(qw[:2]), aw, qw, copies(qw, aw_full), foreign(a), ending(a), proper(raw), CURT.fullmatch(joined.strip()) is not None, spoken, stops, [re.sub(r"\d+", "0", w.casefold()) for w in raw])
                 for c, v in zip(cols, row, strict=True):
@@ -160,9 +175,9 @@ def opening_clusters(answers: DataFrame) -> DataFrame:
     """Per distinct opening: its shingles, the class it belongs to, and the prompts behind it; every opening has a class."""
     opening = F.slice("words", 1, OPENING)
     named = answers.where("not copy").select(opening.alias("words"), "prompt", "voice", "curt")
-    distinct = named.groupBy("words").agg(F.collect_set("prompt").alias("prompts"), F.max("voice").alias("voice"), F.max("curt").alias("curt"))
+    distinct = named.groupBy("words").agg(F.collect_set("prompt").alias("prompts"), F.max("voice").alias("voice"), F.max("curt").alias("curt"), F.count("*").alias("said"), F.count_if(F.col("voice") | F.col("curt")).alias("declined"))
     # prompts: distinct first two words of questions behind one opening, a short list; of the openings only fingerprints move on
-    distinct = cut_lineage(distinct.select(F.xxhash64("words").alias("o"), "prompts", "voice", "curt", F.array_sort(shingles()).alias("sh")).withColumn("s", F.xxhash64("sh")))
+    distinct = cut_lineage(distinct.select(F.xxhash64("words").alias("o"), "prompts", "voice", "curt", "said", "declined", F.array_sort(shingles()).alias("sh")).withColumn("s", F.xxhash64("sh")))
     sets = distinct.select("s", "sh").dropDuplicates(["s"])
     n = F.size("sh")
     # each set meets those that it has when one shingle is left out: as many rows as shingles, however often a set recurs
@@ -171,11 +186,12 @@ def opening_clusters(answers: DataFrame) -> DataFrame:
     return distinct.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
 
 
-def refusal_shingles(clusters: DataFrame) -> DataFrame:
-    """Shingles of the clusters that recur behind unrelated prompts in the voice of an answerer that declines."""
-    spread = clusters.select("root", "voice", "curt", F.explode("prompts").alias("prompt")).groupBy("root").agg(F.countDistinct("prompt").alias("spread"), F.max("voice").alias("voice"), F.max("curt").alias("curt"))
-    reveal = spread.where((F.col("spread") >= UNRELATED) & (F.col("voice") | F.col("curt"))).select("root")
-    return clusters.where("voice or curt").join(reveal, "root", "left_semi").select(F.explode("sh").alias("sh")).distinct()
+def revealed(clusters: DataFrame) -> DataFrame:
+    """Of the classes that recur behind unrelated prompts and in which an answerer declines: the openings, and whether most answers of the class decline."""
+    spread = clusters.select("root", F.explode("prompts").alias("prompt")).groupBy("root").agg(F.countDistinct("prompt").alias("spread"))
+    voices = clusters.groupBy("root").agg(F.sum("said").alias("all_said"), F.sum("declined").alias("all_declined"))
+    reveal = spread.where(F.col("spread") >= UNRELATED).join(voices.where("all_declined > 0"), "root")
+    return clusters.join(reveal.select("root", (F.col("all_declined") >= MOSTLY * F.col("all_said")).alias("mostly")), "root")
 
 
 def final_counts(answers: DataFrame) -> DataFrame:
@@ -193,9 +209,12 @@ def defects(pairs: DataFrame) -> DataFrame:
     plain = pairs.select("id", F.when(~F.coalesce("is_possible", F.lit(True)) & said, "flag_mismatch").when(F.coalesce("is_possible", F.lit(True)) & ~said, "empty_answer").alias("defect")).where("defect is not null")
 
     answers = cut_lineage(features(pairs))
-    lexicon = refusal_shingles(cut_lineage(opening_clusters(answers)))
+    stock = cut_lineage(revealed(cut_lineage(opening_clusters(answers))))
+    lexicon = stock.where("voice or curt").select(F.explode("sh").alias("sh")).distinct()
     own = answers.where("not copy").select("id", "n", F.explode(shingles()).alias("sh"), "voice", "curt")
-    refused = own.where("voice or curt").join(lexicon, "sh", "left_semi").select("id", "n").distinct().withColumn("refusal", F.lit(True))
+    spoken = own.where("voice or curt").join(lexicon, "sh", "left_semi").select("id", "n")
+    begun = answers.where("not copy").select("id", "n", F.xxhash64(F.slice("words", 1, OPENING)).alias("o")).join(stock.where("mostly").select("o"), "o", "left_semi").select("id", "n")
+    refused = spoken.union(begun).distinct().withColumn("refusal", F.lit(True))
     at = lambda i: F.try_element_at("exact", F.lit(i))
     counts = final_counts(answers)
     first = counts.groupBy("w1").agg(F.sum(F.col("stopped") + F.col("final") + F.col("inside")).alias("first"))

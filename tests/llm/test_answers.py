@@ -64,3 +64,18 @@ def test_every_opening_has_the_class_of_brute_force(spark):
                 root[top(a.o)] = top(b.o)
     pairs = {(r.root, top(r.o)) for r in rows}
     assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs) < len(texts)
+
+
+def test_templates_in_other_scripts_and_all_members_of_a_class(spark):
+    kinds = ["Có bao nhiêu", "Ai là", "Nguyên nhân nào", "Vai trò của"]
+    said = {"ko": "죄송하지만 이 질문에는 답변할 수 없습니다.", "zh": "很抱歉，我无法回答这个问题。", "ru": "Извините, но я не могу ответить на этот вопрос.", "it": "Mi dispiace, ma non posso rispondere a questa domanda.", "vi": "Theo quy định chung ở đây thì tôi không thể trả lời câu hỏi này."}
+    rows = [(f"{k}{i}", f"{kinds[i % 4]} điều {i}?", [a]) for k, a in said.items() for i in range(8)]
+    rows += [("vi-again", "Ai là người?", ["Theo quy định chung ở đây thì tôi không thể trả lời câu này."])]
+    rows += [(f"n{i}", f"{kinds[i % 4]} điều {i}?", ["이유는 비용 문제였습니다."]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id string, question string, answers array<string>").selectExpr("*", "true as is_possible")
+    got = {r.id: r.defect for r in defects(df).collect()}
+    assert got == {r[0]: "other_language" if r[0][0] == "n" else "refusal" for r in rows}
+    # no wording of a list in the second half of the class, most of the class declines
+    rows = [(f"a{i}", f"{kinds[i % 4]} điều {i}?", ["Chuyện này vốn dĩ rất dài nên xin cho tôi dừng ở đây, tôi không thể trả lời."]) for i in range(8)] + [("b", "Ai là người?", ["Chuyện này vốn dĩ rất dài nên xin cho tôi dừng ở đây, tôi thôi nói."])]
+    df = spark.createDataFrame(rows, "id string, question string, answers array<string>").selectExpr("*", "true as is_possible")
+    assert {r.id: r.defect for r in defects(df).collect()} == {r[0]: "refusal" for r in rows}
