@@ -1,8 +1,9 @@
 """Problem 10: documents whose text was cut off before its end, and the rate of cut texts per source.
 
 Method, in SQL only: word trigrams are counted inside all texts, apart by whether a sentence or line ends behind
-them; the final trigrams of the texts that do not end like a sentence are joined, and those that are usual inside
-but (almost) never terminal are flagged.  Only hashes of trigrams are shuffled, after partial aggregation.
+them, and joined with the final trigrams of the texts that do not end like a sentence.  Whether these are usual inside
+but (almost) never terminal decides behind a final number with a point and in list entries; all other ends are
+decided by punctuation and lines.  Only hashes of trigrams are shuffled, after partial aggregation.
 
 What speaks for a complete text that ends without a full stop:
 
