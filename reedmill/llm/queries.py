@@ -98,7 +98,47 @@ WITH keyed AS (
 ), n AS (SELECT sum(pool) // 4 AS n FROM pools)
 """
 
+#: Final words of open ends against the counts of trigrams, as strings; CUTS has the documents that were cut off.
+_W = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_CUTS = r"""
+WITH t AS (
+  SELECT doc_id, text, regexp_matches(substring(text, -3, 3), '[^.!?\d][.!?]\n?$') AND NOT starts_with(substring(text, -3, 3), '..') AS done FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT doc_id, done, CASE WHEN done THEN text ELSE regexp_replace(text, '[{_W}\p{Cf}]+$', '') END AS whole FROM t
+), e AS (
+  SELECT *, CASE WHEN done THEN whole WHEN regexp_matches(whole, '(^|[^….])(…|\.\.\.)[{_W}]*([\[(«]?[{_W}]*\p{L}[\p{L} ]{1,24}[\])»]?)?[{_W}]*$') THEN regexp_replace(whole, '(^|[^….])(…|\.\.\.)[{_W}]*([\[(«]?[{_W}]*\p{L}[\p{L} ]{1,24}[\])»]?)?[{_W}]*$', '\1')
+    ELSE regexp_replace(whole, '(�+|</?[a-z]{0,12}|&#?[a-z0-9]{0,7}|[{_W}]*[\[(][{_W}]*(…|\.\.\.)[{_W}]*[\])])[{_W}]*$', '') END AS shorter FROM b WHERE whole <> ''
+), d AS (SELECT doc_id, done, whole, CASE WHEN done THEN shorter ELSE regexp_replace(shorter, '[{_W}\p{Cf}]+$', '') END AS body FROM e
+), s AS (
+  SELECT *, regexp_split_to_array(chr(4) || ' ' || chr(4) || ' ' || chr(4) || ' ' || replace(regexp_replace(regexp_replace(translate(body, '123456789', '000000000'), '([.!?…]+["”’»)\]]*)([\t-\r ]|$)', ' ' || chr(3) || ' \2', 'g'),
+    '\x03([^\x03\n]*[^\x03\n \t\x{A0}][^\x03\n]*)\n', chr(3) || '\1 ' || chr(5) || ' ', 'g'), chr(10), ' ' || chr(4) || ' ') || ' ' || chr(6), '[^\p{L}\p{M}\p{N}\x03-\x06]+') AS w FROM d
+), g AS (
+  SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, w[i + 3] AS n FROM (SELECT w, unnest(range(1, len(w) - 3)) AS i FROM s WHERE len(w) >= 5)
+), counts AS (
+  SELECT a, b, c, count(*) AS inside, count_if(n = chr(3)) AS stops, count_if(n = chr(4)) AS lines, count_if(n = chr(5)) AS prose FROM g GROUP BY ALL
+), o AS (
+  SELECT doc_id, body <> whole AND NOT (regexp_matches(whole, '(…|\.\.\.)$') AND regexp_matches(body, '[\p{L}\p{N}]$')) AS marked, regexp_matches(body, '\d[.]$') AS number, CASE WHEN w[-2] = chr(3) THEN w[:-3] ELSE w[:-2] END AS w
+  FROM s WHERE NOT done AND body <> '' AND (regexp_matches(body, '\d[.]$') OR NOT regexp_matches(body, '[.!?。！？]+["''”’»)\]]*$') OR (body <> whole AND NOT (regexp_matches(whole, '(…|\.\.\.)$') AND regexp_matches(body, '[\p{L}\p{N}]$'))))
+), ends AS (
+  SELECT doc_id, marked, number, w[-4] AS w1, w[-3] AS w2, w[-2] AS w3, w[-1] AS w4, contains(regexp_split_to_array(array_to_string(w, ' '), '[\x04\x05]')[-1], chr(3)) AS in_prose, array_to_string(w[greatest(len(w) - 30, 1) : len(w) - 13], ' ') AS before FROM o
+), tails AS (SELECT w2, w3, w4, in_prose, count(DISTINCT before) AS texts FROM ends WHERE NOT marked AND NOT number GROUP BY ALL
+), pairs AS (SELECT b, c, sum(inside) AS inside, sum(lines) AS lines, sum(prose) AS prose FROM counts GROUP BY ALL
+), singles AS (SELECT c, sum(inside) AS inside, sum(lines) AS lines, sum(prose) AS prose FROM pairs GROUP BY ALL
+), j AS (
+  SELECT ends.*, coalesce(k.inside, 0) AS inside, coalesce(k.stops, 0) AS stops, coalesce(f.inside, 0) AS around, coalesce(texts, 0) - CASE WHEN marked OR number THEN 0 ELSE 1 END AS tails,
+    CASE WHEN in_prose THEN coalesce(k.prose, 0) ELSE coalesce(k.lines, 0) END + coalesce(texts, 0) - CASE WHEN marked OR number THEN 0 ELSE 1 END AS n_ends,
+    coalesce(p.inside, 0) AS inside2, CASE WHEN in_prose THEN coalesce(p.prose, 0) ELSE coalesce(p.lines, 0) END AS ends2, coalesce(q.inside, 0) AS inside1, CASE WHEN in_prose THEN coalesce(q.prose, 0) ELSE coalesce(q.lines, 0) END AS ends1
+  FROM ends LEFT JOIN tails USING (w2, w3, w4, in_prose) LEFT JOIN counts k ON k.a = w2 AND k.b = w3 AND k.c = w4 LEFT JOIN counts f ON f.a = w1 AND f.b = w2 AND f.c = w3 LEFT JOIN pairs p ON p.b = w3 AND p.c = w4 LEFT JOIN singles q ON q.c = w4
+), cuts AS (
+  SELECT doc_id FROM j WHERE CASE WHEN marked THEN true WHEN number THEN inside >= 5 AND stops < 0.04 * inside WHEN inside >= 5 THEN n_ends < 0.005 * (inside + tails)
+    WHEN around >= 5 AND w3 NOT IN (chr(4), chr(5)) THEN n_ends < 0.2 * around WHEN inside + tails >= 5 THEN n_ends < 0.005 * (inside + tails)
+    WHEN inside2 >= 200 THEN ends2 < 0.005 * inside2 WHEN inside1 >= 200 THEN ends1 < 0.005 * inside1 ELSE inside1 < 5 AND NOT list_has_any([w1, w2, w3], [chr(4), chr(5)]) END
+)
+""".replace("{_W}", _W)
+
 SQL: dict[str, str] = {
+    "p10_found": _CUTS + "SELECT doc_id FROM cuts",
+    "p10_rates": _CUTS + "SELECT source, count(*) AS documents, count(c.doc_id) AS cut, count(c.doc_id) / count(*) AS rate FROM documents d LEFT JOIN cuts c USING (doc_id) GROUP BY source",
     "p2_found": _POOLS + "SELECT category FROM pools, n WHERE pool * 100 < target_pct * n.n OR pool < min_rows",
     "p7_found": r"""
 SELECT 'article' AS item_kind, CAST(row_id AS VARCHAR) AS item_key FROM article_records WHERE length(content) > (SELECT max_size FROM size_limits WHERE item_kind = 'article')
