@@ -25,6 +25,8 @@ numbers are shuffled, after partial aggregation.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ from reedmill.functions.session import cut_lineage
 
 #: What may stand behind a cut: replacement characters, a broken tag or entity, or an ellipsis with a few words in brackets or not.
 TAIL = r"(?U)(?:(?<!�)�++|</?[a-z]{0,12}|&#?[a-z0-9]{0,7}|(?<!\s)\s*+[\[(]\s*+(?:…|\.\.\.)\s*+[\])]|(?<![….])(?:…|\.\.\.)\s*+(?:[\[(«]?\s*+\p{L}[\p{L} ]{1,24}[\])»]?)?)\s*+$"
-#: Blanks and invisible characters at the end.
-END = r"(?U)(?<![\s\p{Cf}])[\s\p{Cf}]++$"
+#: Blanks and invisible characters, which go from the end.
+BLANKS = "".join(c for c in map(chr, range(0x20000)) if c.isspace() and not "\x1c" <= c <= "\x1f" or unicodedata.category(c) == "Cf")
+#: Without a run of LONG blanks or replacement characters in the last SUFFIX characters, all that may stand behind a cut is among them.
+SUFFIX, LONG = 160, 35
 COMPLETE = r"[.!?。！？]+[\"'”’»)\]]*$"
 #: A final number with a point may be a cut date or amount.
 NUMBER = r"\d[.]$"
@@ -69,6 +73,11 @@ def hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND((1 << BITS) - 1))
 
 
+def held(value: Column) -> Column:
+    """A value that is computed once, however often it is used (the optimiser copies plain expressions)."""
+    return F.explode(F.array(value))
+
+
 def plainly_complete(text: Column) -> Column:
     """Whether a text ends with a single full stop that is not behind a digit: told from three characters."""
     last = F.substring(text, -3, 3)
@@ -77,8 +86,13 @@ def plainly_complete(text: Column) -> Column:
 
 def bodies(documents: DataFrame, key: str) -> DataFrame:
     """Per document with a text: the text without blanks at its end, and without what stands behind a cut."""
-    d = documents.select(F.col(key).alias("doc"), F.regexp_replace("text", END, "").alias("whole")).where("whole <> ''")
-    return d.withColumn("body", F.regexp_replace(F.regexp_replace("whole", TAIL, ""), END, ""))
+    trimmed = lambda c: F.rtrim(c, F.lit(BLANKS))
+    d = documents.select(F.col(key).alias("doc"), trimmed(F.col("text")).alias("whole")).where("whole <> ''")
+    last = F.substring("whole", -SUFFIX, SUFFIX)
+    size = F.when(last.rlike(rf"(?U)[\s�]{{{LONG}}}"), 0).otherwise(F.greatest(F.length("whole") - SUFFIX, F.lit(0)))
+    d = d.withColumn("n", size)
+    shorter = F.concat(F.substring("whole", F.lit(1), F.col("n")), F.regexp_replace(F.substring("whole", F.col("n") + 1, F.length("whole")), TAIL, ""))
+    return d.select("doc", held(F.struct("whole", trimmed(shorter).alias("body"))).alias("x")).select("doc", "x.*")
 
 
 def code(word: str) -> Column:
@@ -89,7 +103,7 @@ def trigram_counts(documents: DataFrame, key: str) -> DataFrame:
     """Of each trigram that stands inside texts (as a number): how often, and how often a sentence or an open line of either kind ends behind it."""
     done = plainly_complete(F.col("text"))
     texts = documents.where(done).select("text").unionByName(bodies(documents.where(~done), key).select(F.col("body").alias("text")))
-    w = texts.select(hashes(words(F.col("text"))).alias("h")).where(F.size("h") >= 5)
+    w = texts.select(held(hashes(words(F.col("text")))).alias("h"))  # at least four, with those that stand for ends
     cut = lambda i: F.slice("h", i, F.size("h") - 4)
     rows = w.select(F.inline(F.arrays_zip(cut(1).alias("a"), cut(2).alias("b"), cut(3).alias("c"), cut(4).alias("d"))))
     gram = F.shiftleft(F.col("a"), 2 * BITS).bitwiseOR(F.shiftleft(F.col("b"), BITS)).bitwiseOR(F.col("c"))
@@ -102,7 +116,7 @@ def open_ends(documents: DataFrame, key: str) -> DataFrame:
     d = bodies(documents.where(~plainly_complete(F.col("text"))), key).where("body <> ''")
     ellipsis = F.col("whole").rlike(r"(…|\.\.\.)$") & F.col("body").rlike(r"(?U)[\p{L}\p{N}]$")
     d = d.withColumns({"marked": (F.col("body") != F.col("whole")) & ~ellipsis, "number": F.col("body").rlike(NUMBER)})
-    d = d.where(F.col("marked") | F.col("number") | ~F.col("body").rlike(COMPLETE)).withColumn("words", words(F.col("body")))
+    d = d.where(F.col("marked") | F.col("number") | ~F.col("body").rlike(COMPLETE)).select("doc", "marked", "number", held(words(F.col("body"))).alias("words"))
     ended = F.try_element_at("words", F.lit(-2)) == STOP  # a final stop is not among the last words
     d = d.withColumn("words", F.slice("words", 1, F.size("words") - F.when(ended, 2).otherwise(1)))
     n = F.size("words")
