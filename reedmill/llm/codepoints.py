@@ -22,13 +22,20 @@ SIZE = 0x110000
 TABLED = 0x30000
 SLICE_BYTES = 4 << 20
 
-#: Letters of other scripts drawn like a Latin letter, each followed by that letter.
+#: Letters of other scripts drawn like a Latin letter, each followed by that letter (from the public list of confusables).
 LOOK_ALIKES = (
-    "АAВBЕEЅSІIЈJКKМMНHОOРPСCТTХXѴVУYаaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwѵv"  # Cyrillic
-    "ΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXοoνvϲcϳj"  # Greek
-    "ÐĐƉĐɑaɡgօoսuհhոn"  # other Latin, Armenian
-    "ⅠIⅤVⅩXⅬLⅭCⅮDⅯMⅰiⅴvⅹxⅼlⅽcⅾdⅿm"  # Roman numerals
+    "АAВBЕEЅSІIЈJКKМMНHОOРPСCТTХXѴVУYаaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwѵvӀIӏlҮYԌGԜWԚQ"  # Cyrillic
+    "ΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXοoνvϲcϳjαaιiρpϹCϺM"  # Greek
+    "ÐĐƉĐɑaɡgɩi"  # other Latin
+    "օoսuհhոnզqցgՍUՏSՕO"  # Armenian
+    "ᎠDᎡRᎢTᎥiᎩyᎪAᎫJᎬEᎳWᎷMᎻHᎽYᏀGᏂhᏃZᏏbᏒRᏔWᏕSᏙVᏚSᏞLᏟCᏢPᏦKᏧdᏴB"  # Cherokee
+    "ꓐBꓑPꓒdꓓDꓔTꓖGꓗKꓙJꓚCꓜZꓝFꓟMꓠNꓡLꓢSꓣRꓦVꓧHꓪWꓫXꓬYꓮAꓰEꓲIꓳOꓴU"  # Lisu
+    "ⲎHⲒIⲔKⲘMⲚNⲞOⲢPⲤCⲦTⲨYⲬXⲟoⲣpⲥc"  # Coptic
 )
+#: Kinds of compatibility forms that are drawn like what they stand for: widths, fonts, ligatures and Roman numerals.
+SAME_SHAPE = ("<wide>", "<narrow>", "<font>", "<compat>")
+#: Letters with a compatibility form of another shape.
+OTHER_SHAPE = {0x17F, 0x149, 0xE33, 0xEB3, 0x587}
 #: Format characters that have a visible shape.
 VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Characters without a shape whose category is not Cf.
@@ -62,8 +69,9 @@ class Tables:
                     kind[cp], to[cp] = CHANGE, [32]
                 continue
             d = unicodedata.decomposition(ch)
-            wide = d.startswith(("<wide>", "<narrow>"))
-            base = chr(int(d.split()[1], 16)) if wide else ch
+            form, *parts = d.split() if d.startswith("<") else [""]
+            same = form in SAME_SHAPE[:2] or form in SAME_SHAPE and (cat[0] == "L" or cat in ("Nl", "Nd", "Sm") and form == "<font>" or cat == "Nl") and cp not in OTHER_SHAPE
+            base = "".join(chr(int(x, 16)) for x in parts) if same else ch
             full = [like.get(ord(x), ord(x)) for x in unicodedata.normalize("NFD", base)]
             if c or cat.startswith("M"):
                 kind[cp] = MARK

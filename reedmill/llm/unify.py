@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from reedmill.functions.session import cut_lineage
 from reedmill.llm.codepoints import canonical
 
 FIELDS = ("title", "description", "content")
+#: Parts over which the rows of one spelling are spread.
+SALTS = 16
 
 
 @F.arrow_udf(StringType())
@@ -33,17 +36,21 @@ def unify(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 def look_alikes(df: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "row_id") -> DataFrame:
     """Pairs (field, row_id_a, row_id_b) of rows whose field looks the same but is not the same characters.
 
-    Blank fields take no part; a joiner inside an emoji counts as absent here, though ``unify`` keeps it.  Only fingerprints of the texts are shuffled.  Forms of a text that occur in one
-    spelling only leave after a pre-aggregated count, so a title that recurs unchanged in a third of all rows
-    costs one row per partition; the pairs of the others are joined by spelling, where adaptive execution splits
-    what is skewed.
+    Blank fields take no part; a joiner inside an emoji counts as absent here, though ``unify`` keeps it.  Only
+    fingerprints of the texts are shuffled.  Forms of a text that occur in one spelling only leave after a
+    pre-aggregated count.  Spellings of a form are paired with their numbers of rows, not rows with rows: the rows of
+    the rarer spelling are spread over ``SALTS`` parts each and meet those of the other there, so that the work is that
+    of the pairs that come out, and a text in a third of all rows with one odd spelling is split.
     """
     shown = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("raw"), F.translate(one_form(f), "\u200d", "").alias("form")) for f in fields))
     rows = df.select(F.col(key).alias("row_id"), F.inline(shown)).where(~F.coalesce(F.col("raw"), F.lit("")).rlike(r"^[\s\p{Z}\p{Cf}]*$"))
-    rows = rows.select("field", "row_id", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2"), F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(1), "raw").alias("r2"))
-    form, spelling = ["field", "f1", "f2"], F.struct("r1", "r2")
-    several = rows.groupBy(*form).agg(F.min(spelling).alias("lo"), F.max(spelling).alias("hi")).where("lo <> hi").select(*form)
-    varied = rows.join(several, form, "left_semi").withColumn("spelling", spelling).drop("r1", "r2")
-    a, b = varied.withColumnRenamed("row_id", "a").withColumnRenamed("spelling", "sa"), varied.withColumnRenamed("row_id", "b").withColumnRenamed("spelling", "sb")
-    pairs = a.join(b, form).where("a < b and sa <> sb")
-    return pairs.select("field", F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b")).distinct()
+    rows = rows.select("field", "row_id", F.struct(F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2")).alias("form"), F.struct(F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(1), "raw").alias("r2")).alias("spelling"))
+    form = ["field", "form"]
+    several = rows.groupBy(*form).agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select(*form)
+    varied = cut_lineage(rows.join(several, form, "left_semi").distinct())
+    spellings = varied.groupBy(*form, "spelling").agg(F.struct(F.count("*").alias("n"), F.col("spelling")).alias("x")).select(*form, "x")
+    pairs = spellings.join(spellings.withColumnRenamed("x", "y"), form).where("x < y").select(*form, F.col("x.spelling").alias("spelling"), F.col("y.spelling").alias("other"))
+    few = varied.join(pairs, [*form, "spelling"]).select(*form, F.col("row_id").alias("a"), F.col("other").alias("spelling"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    many = varied.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(SALTS)))
+    both = few.join(many, [*form, "spelling", "salt"]).where("a <> row_id")
+    return both.select("field", F.least("a", "row_id").alias("row_id_a"), F.greatest("a", "row_id").alias("row_id_b"))
