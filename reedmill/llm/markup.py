@@ -2,7 +2,8 @@
 
 Method: a text is a sequence of tokens; words score positive and markup negative, with weights learnt as log-odds
 from lines labelled as content or as markup, and a linear scan finds the contiguous region with the largest sum.
-The text of that region is then written in plain form:
+A text in which the scan scores any token as markup holds markup (``p6_found``).  The text of the region is then
+written in plain form:
 
 * headings are lines of their own that begin with ``§``, list entries begin with ``- ``,
 * cells of a table row are separated by tabs, code is indented by four blanks,
@@ -127,14 +128,18 @@ def menus(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def region(text: str, weights: dict[str, float]) -> tuple[int, int]:
-    """Start and end of the contiguous region with the largest sum of weights, widened to all other text.
+def scan(text: str, weights: dict[str, float]) -> tuple[int, int, bool]:
+    """Start and end of the contiguous region with the largest sum of weights, widened to all other text, and whether
+    any token was scored as markup.
 
     What lies before the first or behind the last text that is no navigation goes.  In texts that are too short to
     judge nothing counts as navigation.
     """
     best, span, total, start = 0.0, (0, 0), 0.0, None
     found = list(tokens(text))
+    met = any(kind not in ("word", "sign") for kind, _, _ in found)
+    if not met:
+        return 0, len(text), False
     for kind, a, b in found:
         if total <= 0:
             total, start = 0.0, a
@@ -153,7 +158,12 @@ def region(text: str, weights: dict[str, float]) -> tuple[int, int]:
         if text[b:start].strip() or kind not in BARE[1:] or any(x <= start < y for x, y in gone):
             break
         b = stop
-    return a, b
+    return a, b, True
+
+
+def region(text: str, weights: dict[str, float]) -> tuple[int, int]:
+    """Start and end of the best region."""
+    return scan(text, weights)[:2]
 
 
 def _formula(x: str) -> str:
@@ -165,11 +175,11 @@ def _formula(x: str) -> str:
         x = re.sub(r"([_^])\{([^{}]*)\}", lambda m: m.group(1) + (m.group(2) if len(m.group(2)) < 2 else f"({m.group(2)})"), x)
     signs = {"leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "approx": "≈", "times": "×", "cdot": "·", "neq": "≠", "pm": "±", "infty": "∞", "sum": "∑", "pi": "π", "alpha": "α", "beta": "β", "sigma": "σ", "mu": "μ", "lambda": "λ"}
     x = re.sub(r"\\([A-Za-z]+)", lambda m: signs.get(m.group(1), m.group(1)), x)
-    return "⟨" + re.sub(r"\s+", " ", x.replace("{,}", ",").replace("{", "(").replace("}", ")").replace("\\", "").replace("^", "^").replace("_", "")).strip() + "⟩"
+    return "⟨" + re.sub(r"\s+", " ", x.replace("{,}", ",").replace("{", "(").replace("}", ")").replace("\\", "")).strip() + "⟩"
 
 
 def _indent(code: str) -> str:
-    code = html.unescape(re.sub(r"<[^>]+>", "", code)).strip("\n")
+    code = code.strip("\n")
     return "\n" + "\n".join("    " + x for x in code.split("\n")) + "\n"
 
 
@@ -196,19 +206,34 @@ def unescaped(text: str) -> str:
     return text
 
 
-def plain(text: str) -> str:
-    """The text without markup, with its structure in plain form."""
-    text = unescaped(text)
+def plain(text: str, rounds: int = 4) -> str:
+    """The text without markup, with its structure in plain form; code and formulas are not touched again.
+
+    Markup that comes out of markup is taken off in further rounds.
+    """
+    text = text.replace("\x00", "")
     kept: list[str] = []
+    for _ in range(rounds):
+        text = _without_markup(text, kept)
+        if not has_markup(text):
+            break
+    for _ in range(2):
+        text = re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m.group(1))], text)
+    text = re.sub(r"[ \t]+$", "", text, flags=re.M)
+    return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
+
+
+def _without_markup(text: str, kept: list[str]) -> str:
+    """One round; code and formulas go to kept, and marks with their numbers stand for them."""
+    text = unescaped(text)
 
     def keep(x: str) -> str:
         kept.append(x)
         return f"\x00{len(kept) - 1}\x00"
 
     sub = lambda p, r, x, f=re.S | re.M: re.sub(p, r, x, flags=f)
-    text = text.replace("\x00", "")
     text = sub(r"```[^\n`]*\n(.*?)\n?```", lambda m: keep(_indent(m.group(1))), text)
-    text = sub(r"<pre\b[^>]*>(.*?)</pre\s*>", lambda m: keep(_indent(m.group(1))), text)
+    text = sub(r"<pre\b[^>]*>(.*?)</pre\s*>", lambda m: keep(_indent(re.sub(_TAG, "", m.group(1)))), text)
     text = sub(r"<code\b[^>]*>([^\n]*?)</code\s*>|`([^`\n]+)`", lambda m: keep(m.group(1) or m.group(2) or ""), text)
     text = sub(KINDS["math"], lambda m: keep(_formula(m.group())), text)
     text = sub(KINDS["dropped"], "", text)
@@ -251,24 +276,21 @@ def plain(text: str) -> str:
         text = sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
     text = sub(rf"\\(?:{'|'.join(COMMANDS)})(?![A-Za-z])|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?=\{{)", "", text)
     text = sub(r"\\([%&#_])", r"\1", text)
-    text = sub(r"\x00(\d+)\x00", lambda m: kept[int(m.group(1))], text)
-    text = sub(r"\x00(\d+)\x00", lambda m: kept[int(m.group(1))], text)
-    text = sub(r"[ \t]+$", "", text, re.M)
-    return sub(r"\n{3,}", "\n\n", text).strip("\n")
+    return text
 
 
-def cleaned(text: str, weights: dict[str, float] = WEIGHTS) -> str:
-    """The best region of a text in plain form; texts without markup stay as they are."""
-    if not has_markup(text):
-        return text
+def judged(text: str, weights: dict[str, float] = WEIGHTS) -> tuple[str, bool]:
+    """The best region of a text in plain form, and whether the scan met markup; a text in which it met none stays as it is."""
+    *_, met = scan(text, weights)
+    if not met:
+        return text, False
     text = unescaped(text)
     a, b = region(text, weights)
-    done = plain(text[a:b] if b > a else text)
-    for _ in range(3):  # markup that came out of markup
-        if not has_markup(done):
-            break
-        done = plain(done)
-    return done
+    return plain(text[a:b] if b > a else text), True
+
+
+def cleaned(text: str, weights: dict[str, float] = WEIGHTS) -> str:
+    return judged(text, weights)[0]
 
 
 def learn(df: DataFrame, fields: tuple[str, ...], sample: int = SAMPLE) -> dict[str, float]:
@@ -281,8 +303,11 @@ def learn(df: DataFrame, fields: tuple[str, ...], sample: int = SAMPLE) -> dict[
                 total.update(labelled(x))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["label", "kind", "n"])
 
-    texts = df.select(F.explode(F.array(*fields)).alias("text")).where(F.col("text").rlike(SUSPECT)).limit(sample)
-    rows = texts.mapInArrow(count, "label string, kind string, n long").groupBy("label", "kind").sum("n").collect()
+    texts = df.select(F.explode(F.array(*fields)).alias("text")).where(F.col("text").rlike(SUSPECT))
+    # those with the smallest hashes, whatever the order of the files; only hashes meet in one task
+    h = F.xxhash64("text")
+    most = texts.select(h.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = texts.where(h <= F.lit(most)).mapInArrow(count, "label string, kind string, n long").groupBy("label", "kind").sum("n").collect()
     counts: Counter = Counter({(r[0], r[1]): r[2] for r in rows})
     return log_odds(counts) if any(k[0] == "markup" for k in counts) else WEIGHTS
 
@@ -298,9 +323,8 @@ def strip_markup(df: DataFrame, fields: tuple[str, ...] = ("content", "descripti
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            had = [has_markup(x) for x in texts]
-            clean = [cleaned(x, weights) if h else x for x, h in zip(texts, had, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(had), pa.array(clean, pa.string())], names=[key, "field", "had_markup", "clean"])
+            done = [judged(x, weights) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d[1] for d in done], pa.bool_()), pa.array([d[0] for d in done], pa.string())], names=[key, "field", "had_markup", "clean"])
 
     long = df.select(key, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("clean")) for f in fields)))).where("clean is not null")
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, field string, had_markup boolean, clean string"

@@ -1,6 +1,6 @@
 import pytest
 
-from reedmill.llm.markup import WEIGHTS, cleaned, found, has_markup, learn, region, strip_markup
+from reedmill.llm.markup import WEIGHTS, cleaned, found, has_markup, judged, learn, plain, region, strip_markup
 
 ORDINARY = [
     "- một\n- hai\n1. ba", "#hashtag và #tin", "Giá $86 mỗi kiện*, $72 mỗi hộp*, chưa phí.", "7 * 3 = 21", "Tỷ lệ < 9% và > 1,5%", "R&D; A & B", "Tệp bang_ke_34_v2.xls và _x", "“tôi [tạm] đồng ý” [1] (2)",
@@ -27,7 +27,7 @@ MARKED = {
 
 @pytest.mark.parametrize("text", ORDINARY)
 def test_ordinary_text_stays(text):
-    assert not has_markup(text) and cleaned(text) == text
+    assert not has_markup(text) and cleaned(text) == text and judged(text) == (text, False)
 
 
 @pytest.mark.parametrize("text", MARKED)
@@ -64,3 +64,11 @@ def test_frames(spark):
     out = {(r.row_id, r.field): r.clean for r in strip_markup(df).collect()}
     assert len(strip_markup(df).collect()) == 8 and out[2, "description"] == "hai ba" and out[2, "content"] == "một"
     assert learn(df, ("content",))["word"] > 0 and found(df.limit(0)).count() == 0
+
+
+def test_code_and_formulas_survive():
+    text = "Đoạn văn đầu tiên của bài có **chữ đậm** ở đây.\n```python\nif a < b and c > d:\n    x_1 = y[0] * **z** # <b>không</b>\n```\nCông thức $a_{ij} + x_1^2$ đứng ở cuối câu này."
+    got = plain(text)
+    assert "    if a < b and c > d:\n        x_1 = y[0] * **z** # <b>không</b>" in got
+    assert "⟨a_(ij) + x_1^2⟩" in got and "chữ đậm" in got and "**chữ" not in got
+    assert "    if a < b:" in plain("Xin xem <pre><code>if a &lt; b:</code></pre> nhé")
