@@ -1,8 +1,8 @@
 """Problem 7: oversized items are cut into overlapping pieces at natural boundaries.
 
-Method: pointer doubling.  Every position of every item is joined to its farthest legal successor (the last
-paragraph or sentence end within the limit, else the last blank, else the limit itself) given that the piece
-after a cut starts ``overlap`` units before it; squaring the successor table of a whole batch then yields the
+Method: pointer doubling.  Every position of every item is joined to its farthest legal successor (the last line end
+beyond half the limit, else the last sentence end, else the last blank, else the limit itself, but never between a
+letter and its mark) given that the piece after a cut starts ``overlap`` units before it; squaring the successor table of a whole batch then yields the
 greedy cuts of all its items in a logarithmic number of gathers.
 
 Units are characters, or tokens (runs of characters that are not Unicode white space).  Pieces never exceed the
@@ -47,18 +47,22 @@ def sentence_ends(cps: np.ndarray) -> np.ndarray:
     return white & stop | IS_LINE[cps]
 
 
-def successors(n: int, strong: np.ndarray, weak: np.ndarray, limit: int, overlap: int) -> np.ndarray:
-    """For each cut 0..n of an item the farthest legal next cut; strong and weak are the boundary positions."""
+def successors(n: int, ranks: list[np.ndarray], legal: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+    """For each cut 0..n of an item the farthest legal next cut, at a boundary of the first rank that has one beyond half the limit.
+
+    ranks are positions; legal tells of each cut whether it may be made and a piece may start ``overlap`` before it.
+    """
     cut = np.arange(n + 1)
     start = np.maximum(cut - overlap, 0)
     most = np.minimum(start + limit, n)
     least = np.maximum(cut, start + limit // 2)
-    flags = np.zeros(n + 1, bool)
-    flags[strong] = True
-    s = last_true(flags)[most]
-    flags[weak] = True
-    w = last_true(flags)[most]
-    return np.where(most == n, n, np.where(s > least, s, np.where(w > least, w, most)))
+    out = np.where(most == n, n, -1)
+    for at in [*ranks, cut]:
+        flags = np.zeros(n + 1, bool)
+        flags[at] = True
+        last = last_true(flags & legal)[most]
+        out = np.where((out < 0) & (last > least), last, out)
+    return np.where(out < 0, most, out)
 
 
 def reachable(jump: np.ndarray, roots: np.ndarray, steps: int) -> np.ndarray:
@@ -75,7 +79,7 @@ def cuts(part: pa.Array, unit: str, limit: int, overlap: int) -> tuple[np.ndarra
     """Of one slice of texts: item index, piece number, start and end in characters, and size in units."""
     cps, offsets = decode(part)
     blank = sentence_ends(cps) if len(cps) else np.zeros(0, bool)
-    white = IS_WHITE[cps]
+    white, line = IS_WHITE[cps], IS_LINE[cps]
     marks = tables().ccc[cps] > 0
     jumps, roots, nodes, chars = [], [], [0], []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
@@ -86,22 +90,26 @@ def cuts(part: pa.Array, unit: str, limit: int, overlap: int) -> tuple[np.ndarra
             at = np.flatnonzero(first)  # the first character of each token
             n = len(at)
             total = np.concatenate(([0], np.cumsum(good)))
-            strong = np.flatnonzero(total[at[1:]] > total[at[:-1]]) + 1 if n else at
-            weak = strong
+            lined = np.concatenate(([0], np.cumsum(line[a:b])))
+            ranks = [np.flatnonzero(x[at[1:]] > x[at[:-1]]) + 1 if n else at for x in (lined, total)]
+            legal = np.ones(n + 1, bool)
             place = np.concatenate((at, [b - a]))
             place[0] = 0
         else:
             n = int(b - a)
             after = np.zeros(n, bool)
             after[:-1] = w[:-1] & ~w[1:]
-            g = np.zeros(n, bool)
-            g[:-1] = good[:-1] & ~w[1:]
-            strong, weak = np.flatnonzero(g) + 1, np.flatnonzero(after) + 1
-            if n and marks[a:b].any() and not len(weak):
-                weak = np.flatnonzero(~marks[a:b])  # never between a letter and its mark
+            ended, lined = (np.zeros(n, bool) for _ in range(2))
+            ended[:-1] = good[:-1] & ~w[1:]
+            lined[:-1] = line[a:b][:-1] & ~w[1:]
+            ranks = [np.flatnonzero(x) + 1 for x in (lined, ended, after)]
+            legal = np.ones(n + 1, bool)
+            if n and marks[a:b].any():  # no piece begins or ends between a letter and its mark
+                legal[:-1] = ~marks[a:b]
+                legal &= legal[np.maximum(np.arange(n + 1) - overlap, 0)]
             place = np.arange(n + 1)
         roots.append(nodes[-1])
-        jumps.append(successors(n, strong, weak, limit, overlap) + nodes[-1])
+        jumps.append(successors(n, ranks, legal, limit, overlap) + nodes[-1])
         chars.append(place)
         nodes.append(nodes[-1] + n + 1)
     if not jumps:

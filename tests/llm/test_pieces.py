@@ -1,11 +1,12 @@
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reedmill.llm.pieces import WHITE, cuts, found, pieces
+from reedmill.llm.pieces import WHITE, cuts, found, pieces, split
 
 WS = "".join(map(chr, WHITE))
 
@@ -54,3 +55,16 @@ def test_frames(spark):
     rows = pieces(art, chunks, limits).where("item_key = '5'").orderBy("piece").collect()
     assert rows[0].n_pieces == len(rows) and all(len(r.piece_text) <= 1800 and r.piece_text.endswith(". ") for r in rows)
     assert found(art.limit(0), chunks.limit(0), limits).count() == 0
+
+
+def test_no_piece_begins_with_a_mark(spark):
+    long = "một hai " + "e\u0302\u0301" * 900 + " ba. " + "a\u0301" * 500
+    got = split(spark.createDataFrame([(1, long)], "id long, text string"), "text", 200, 24, "chars", ("id",)).orderBy("piece").collect()
+    assert all(not unicodedata.combining(r.piece_text[0]) for r in got) and max(r.size for r in got) <= 200
+    assert got[0].piece_text + "".join(r.piece_text[24:] for r in got[1:]) == long
+
+
+def test_line_ends_come_first(spark):
+    text = "Một hai ba. " * 10 + "Bốn\nnăm sáu. " + "Bảy tám. " * 20
+    got = split(spark.createDataFrame([(1, text)], "id long, text string"), "text", 150, 0, "chars", ("id",)).orderBy("piece").collect()
+    assert got[0].piece_text.endswith("Bốn\n")
