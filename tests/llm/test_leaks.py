@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from reedmill.llm import leaks
-from reedmill.llm.leaks import Items, found, lcs, window_sums
+from reedmill.llm.leaks import Blocks, Items, found, lcs, window_sums
 
 
 @settings(max_examples=200, deadline=None)
@@ -24,7 +24,32 @@ def test_lcs(a, b):
 def test_windows():
     first, sums = window_sums(np.arange(8, dtype=np.float32).reshape(8, 1), np.array([0, 5, 6, 8]), 3)
     assert list(first) == [0, 1, 2, 5, 6] and list(sums[:, 0]) == [3, 6, 9, 5, 13]
-    assert Items([1], ["a b"]).ids == []
+    assert Items([1, 2, 3], ["a b", " . ", ""]).ids == [1]
+
+
+def test_blocks_are_counts():
+    rng = np.random.default_rng(1)
+    offsets, size = np.array([0, 40, 40, 47, 90]), 6
+    index = rng.integers(0, size + 1, 90)
+    blocks = Blocks(index, offsets, size)
+    assert list(blocks.starts) == [0, 16, 32, 40, 47, 63, 79] and list(blocks.ends) == [0, 3, 3, 4, 7]
+    counts = np.zeros((7, size))
+    for i, (a, b) in enumerate(zip(blocks.starts, [16, 32, 40, 47, 63, 79, 90])):
+        for w in index[a:b]:
+            if w < size:
+                counts[i, w] += 1
+    basis, back = rng.standard_normal((size, 3)).astype(np.float32), rng.standard_normal((7, 3)).astype(np.float32)
+    assert np.allclose(blocks.times(basis), counts @ basis, atol=1e-5) and np.allclose(blocks.transposed(back, size), counts.T @ back, atol=1e-5)
+
+
+def test_short_and_very_long_items(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"tu{rng.randrange(3000)}" for _ in range(n)]
+    long = text(1500)
+    docs = [(i, " ".join(text(300))) for i in range(60)] + [(100, " ".join(text(50) + ["Khóa", "số", "bảy", "mở"] + text(50))), (101, " ".join(text(100) + long[:1200] + text(100))), (102, "số mở " + " ".join(text(80)) + " bảy khóa")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ev = spark.createDataFrame([(1, "khóa số bảy mở"), (2, " ".join(long))], "item_id long, text string")
+    assert {tuple(r)[:2] for r in found(df, ev).collect()} == {(100, 1), (101, 2)}
 
 
 def test_recall_against_brute_force(spark):
