@@ -158,23 +158,30 @@ STRATEGIES: dict[str, tuple[Callable[[str, ChunkingConfig], Iterator[Unit]], str
     "structured": (_structured, "internal_structured_sentence_window"),
 }
 UNITS = "array<struct<text: string, start: int, stop: int, tokens: int, structure: string>>"
-ARTICLE = ("article_id", "title", "description", "category", "content")
 META = "title description category".split()
+#: What the metadata of an article hold beside its texts; chunks carry them on.
+SIZES = "content_chars title_chars description_chars is_short is_long".split()
 
 
-def with_units(articles: DataFrame, config: ChunkingConfig) -> DataFrame:
-    """Articles with a column of the units their strategy cuts (none for small or blank contents)."""
+def cut_units(config: ChunkingConfig) -> Callable[[Column], Column]:
+    """An Arrow function that cuts contents into units; its result is built column by column."""
     if config.strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {config.strategy}")
     cut = STRATEGIES[config.strategy][0]
-    kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("tokens", pa.int32()), ("structure", pa.string())]))
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
 
     @F.arrow_udf(UNITS)
     def units(text: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("text", "start", "stop", "tokens", "structure"), u, strict=True)) for u in cut(x, config)] if x else [] for x in text.to_pylist()], kind)
+        ends, found = [0], []
+        for x in text.to_pylist():
+            if x:
+                found += cut(x, config)
+            ends.append(len(found))
+        columns = zip(*found, strict=True) if found else ((),) * len(kinds)
+        fields = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["text", "start", "stop", "tokens", "structure"]))
 
-    # short contents don't travel to Python
-    return articles.withColumn("units", F.when(large("content", config), units(F.col("content"))).otherwise(F.array().cast(UNITS)))
+    return units
 
 
 def blank(column: str) -> Column:
@@ -239,28 +246,46 @@ def merge_small_tail(units: Column, least: int) -> Column:
 
 def chunks(articles: DataFrame, config: ChunkingConfig = ChunkingConfig(), native: bool = False) -> DataFrame:
     """One row per chunk: chunk_id, article_id, strategy, text, chunk_text and the metadata."""
-    rows = articles.select(*(F.col(c) for c in ARTICLE))
-    if native:
-        if config.strategy != "token":
-            raise ValueError("only the token strategy is native")
-        rows = rows.withColumn("units", F.when(large("content", config), token_units(F.col("content"), config.chunk_size, config.overlap)).otherwise(F.array().cast(UNITS)))
-    else:
-        rows = with_units(rows, config)
-    whole = F.struct(F.col("content").alias("text"), F.lit(0).alias("start"), F.length("content").alias("stop"), T.token_count(F.col("content")).cast("int").alias("tokens"), F.lit("content").alias("structure"))
-    small = ~blank("content") & (F.length("content") <= config.small_article_chars)
-    rows = rows.withColumn("units", F.when(small, F.array(whole)).otherwise(merge_small_tail(F.col("units"), config.min_chunk_tokens)))
-    cap = config.max_chunks_per_article
-    over = F.lit(False) if cap is None else F.size("units") > cap
-    rows = rows.withColumns({"small": small, "truncated": over, "units": F.col("units") if cap is None else F.slice("units", 1, cap)})
-    rows = rows.select("*", F.size("units").alias("num_chunks"), F.posexplode("units").alias("chunk_index", "unit"))
-    fields = {c: F.coalesce(F.col(c), F.lit("")) for c in META}
+    return experiment(articles, [config], native)
+
+
+def experiment(articles: DataFrame, configs: list[ChunkingConfig], native: bool = False) -> DataFrame:
+    """The chunks of the same articles under several configurations: one scan, and one pass through Python for all.
+
+    Titles and the like that are null or empty are taken from the metadata of the article, if it has such; all other
+    metadata are carried on.  Articles without an id have chunks without one.
+    """
+    if not configs:
+        raise ValueError("no configuration")
+    if native and any(c.strategy != "token" for c in configs):
+        raise ValueError("only the token strategy is native")
+    given = [f.name for f in articles.schema["metadata"].dataType.fields] if "metadata" in articles.columns else []
+    fields = [T.fallback(F.col(c), *([F.col("metadata")[c]] if c in given else [])).alias(c) for c in META]
+    carried = [F.col("metadata")[c].alias(c) for c in SIZES if c in given]
+    rows = articles.select(F.col("article_id").cast("string").alias("article_id"), *fields, "content", F.struct(*carried).alias("carried") if carried else F.lit(None).alias("carried"))
+    none = F.array().cast(UNITS)
+    cut = lambda c: token_units(F.col("content"), c.chunk_size, c.overlap) if native else cut_units(c)(F.col("content"))
+    # short contents don't travel to Python
+    rows = rows.withColumns({f"u{i}": F.when(large("content", c), cut(c)).otherwise(none) for i, c in enumerate(configs)})
+    whole = F.array(F.struct(F.col("content").alias("text"), F.lit(0).alias("start"), F.length("content").alias("stop"), T.token_count(F.col("content")).cast("int").alias("tokens"), F.lit("content").alias("structure")))
+    small = lambda c: ~blank("content") & (F.length("content") <= c.small_article_chars)
+    runs = [
+        F.struct(
+            F.lit(c.strategy).alias("strategy"), F.when(small(c), "single_small_article").otherwise(STRATEGIES[c.strategy][1]).alias("implementation"), F.lit(c.inject_title_description).alias("inject"),
+            F.lit(c.max_chunks_per_article).cast("int").alias("most"), F.when(small(c), whole).otherwise(merge_small_tail(F.col(f"u{i}"), c.min_chunk_tokens)).alias("units"),
+        )
+        for i, c in enumerate(configs)
+    ]
+    rows = rows.select("article_id", *META, "carried", F.explode(F.array(*runs)).alias("run")).select("article_id", *META, "carried", "run.*")
+    over = F.coalesce(F.size("units") > F.col("most"), F.lit(False))
+    rows = rows.select("*", over.alias("truncated"), F.least(F.size("units"), F.col("most")).alias("num_chunks"), F.posexplode("units").alias("chunk_index", "unit")).where("most is null or chunk_index < most")
     chunk = T.strip(F.col("unit.text"))
-    text = T.embedding_text(fields["title"], fields["description"], fields["category"], chunk) if config.inject_title_description else chunk
+    text = F.when(F.col("inject"), T.embedding_text(*map(F.col, META), chunk)).otherwise(chunk)
     metadata = F.struct(
-        F.col("article_id").cast("string").alias("article_id"), *(fields[c].alias(c) for c in META), F.lit(config.strategy).alias("strategy"), F.when(F.col("small"), "single_small_article").otherwise(STRATEGIES[config.strategy][1]).alias("implementation"),
-        F.col("unit.structure").alias("structure"), "chunk_index", "num_chunks", F.col("unit.start").alias("char_start"), F.col("unit.stop").alias("char_end"), F.col("unit.tokens").alias("token_count"), F.length(chunk).alias("chunk_chars"), F.col("truncated").alias("truncated_article"),
+        "article_id", *META, *(F.col("carried")[c].alias(c) for c in SIZES if c in given), "strategy", "implementation", F.col("unit.structure").alias("structure"), "chunk_index", "num_chunks", F.col("unit.start").alias("char_start"), F.col("unit.stop").alias("char_end"),
+        F.col("unit.tokens").alias("token_count"), F.length(chunk).alias("chunk_chars"), F.col("truncated").alias("truncated_article"),
     )
-    return rows.select(T.chunk_id(F.col("article_id").cast("string"), F.lit(config.strategy), F.col("chunk_index")).alias("chunk_id"), F.col("article_id").cast("string").alias("article_id"), F.lit(config.strategy).alias("strategy"), text.alias("text"), chunk.alias("chunk_text"), metadata.alias("metadata"))
+    return rows.select(T.chunk_id(F.col("article_id"), F.col("strategy"), F.col("chunk_index")).alias("chunk_id"), "article_id", "strategy", text.alias("text"), chunk.alias("chunk_text"), metadata.alias("metadata"))
 
 
 def chunk_stats(articles: DataFrame, chunked: DataFrame, shortest: int = 300) -> DataFrame:
@@ -268,22 +293,14 @@ def chunk_stats(articles: DataFrame, chunked: DataFrame, shortest: int = 300) ->
     m = lambda f: F.col(f"metadata.{f}")
     per = chunked.groupBy("strategy").agg(
         F.count("*").alias("chunks_written"),
-        F.countDistinct(F.when(m("truncated_article"), F.col("article_id"))).alias("truncated_articles"),
+        F.count_if(m("truncated_article") & (m("chunk_index") == 0)).alias("truncated_articles"),
         F.sum(m("token_count")).alias("total_chunk_tokens"), F.min(m("token_count")).alias("min_chunk_tokens"), F.max(m("token_count")).alias("max_chunk_tokens"),
         F.sum(m("chunk_chars")).alias("total_chunk_chars"), F.min(m("chunk_chars")).alias("min_chunk_chars"), F.max(m("chunk_chars")).alias("max_chunk_chars"),
     )
-    of_all = articles.agg(F.count("*").alias("articles_read"), F.count_if(F.length(F.coalesce("content", F.lit(""))) < shortest).alias("short_articles"), F.count_if(blank("content")).alias("empty_articles"))
+    given = [f.name for f in articles.schema["metadata"].dataType.fields] if "metadata" in articles.columns else []
+    length = F.length(F.coalesce("content", F.lit(""))) < shortest
+    is_short = F.coalesce(F.col("metadata.is_short"), F.lit(False)) if "is_short" in given else length
+    of_all = articles.agg(F.count("*").alias("articles_read"), F.count_if(is_short).alias("short_articles"), F.count_if(blank("content")).alias("empty_articles"))
     both = per.crossJoin(F.broadcast(of_all))  # one row
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     return both.withColumns({"avg_chunks_per_article": ratio("chunks_written", "articles_read"), "avg_chunk_tokens": ratio("total_chunk_tokens", "chunks_written"), "avg_chunk_chars": ratio("total_chunk_chars", "chunks_written")})
-
-
-def experiment(articles: DataFrame, configs: list[ChunkingConfig]) -> DataFrame:
-    """The same articles under several configurations; one plan, the articles are read once per configuration."""
-    out = None
-    for c in configs:
-        part = chunks(articles, c)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no configuration")
-    return out

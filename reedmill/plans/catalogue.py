@@ -40,16 +40,16 @@ def raw(spark: SparkSession, folder: str) -> DataFrame:
     return spread(records(spark, folder).select("row_id", F.col("article_id").alias("id"), "title", "description", "content", "category"))
 
 
-def once(spark: SparkSession, folder: str) -> DataFrame:
-    """Each article once, by its smallest row."""
-    return records(spark, folder).where("article_id is not null").groupBy("article_id").agg(F.min_by(F.struct("title", "description", "content", "category"), "row_id").alias("x")).select("article_id", "x.*")
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    """All records as articles with their metadata."""
+    return spread(records(spark, folder).select("row_id", "article_id", "title", "description", "content", "category", "metadata"))
 
 
-_ONCE = "(SELECT article_id, arg_min({title: title, description: description, content: content, category: category}, row_id) AS x FROM article_records WHERE article_id IS NOT NULL GROUP BY article_id)"
 _B = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _strip = lambda x: f"regexp_replace({x}, '^[{_B}]+|[{_B}]+$', '', 'g')"
 _tokens = lambda x: f"len(regexp_extract_all({x}, '[^{_B}]+'))"
-_ARTICLES = f"WITH a AS (SELECT article_id, x.title AS title, x.description AS description, x.content AS content, x.category AS category FROM {_ONCE})"
+_field = lambda c: f"coalesce(nullif({c}, ''), nullif(metadata.{c}, ''), '')"
+_ARTICLES = f"WITH a AS (SELECT row_id, article_id, {', '.join(f'{_field(c)} AS {c}' for c in ('title', 'description', 'category'))}, content, metadata FROM article_records)"
 
 
 # strict CSV (problem 5)
@@ -189,7 +189,7 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
 # chunking
 _CHUNK = rf"""
 {_ARTICLES}, t AS (
-  SELECT article_id, title, description, category, content, length(regexp_extract(content, '^[{_B}]*')) AS lead, regexp_extract_all(content, '[^{_B}]+[{_B}]*') AS w FROM a WHERE {_strip("coalesce(content, '')")} <> ''
+  SELECT row_id, article_id, title, description, category, content, metadata.is_short AS is_short, length(regexp_extract(content, '^[{_B}]*')) AS lead, regexp_extract_all(content, '[^{_B}]+[{_B}]*') AS w FROM a WHERE {_strip("coalesce(content, '')")} <> ''
 ), k AS (
   SELECT *, CASE WHEN length(content) <= 1000 OR len(w) <= SIZE THEN 1 ELSE 1 + CAST(ceil((len(w) - SIZE) / STEP.0) AS INT) END AS num_chunks FROM t
 ), c AS (SELECT *, unnest(range(num_chunks)) AS i FROM k), b AS (
@@ -210,75 +210,75 @@ def flat_metadata(df: DataFrame) -> DataFrame:
 
 @query(_chunk(450, 80))
 def chunk_token(spark: SparkSession, folder: str) -> DataFrame:
-    return flat_metadata(chunking.chunks(once(spark, folder)))
+    return flat_metadata(chunking.chunks(articles(spark, folder)))
 
 
 @query(_chunk(45, 8))
 def chunk_token_small_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return flat_metadata(chunking.chunks(once(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0), native=True))
+    return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0), native=True))
 
 
 @query(f"SELECT * EXCLUDE (n, text, chunk_text, char_start, char_end), CAST(least(n, 3) AS INT) AS num_chunks, n > 3 AS truncated FROM (SELECT * RENAME (num_chunks AS n) FROM ({_chunk(45, 8)})) WHERE chunk_index < 3")
 def chunk_cap(spark: SparkSession, folder: str) -> DataFrame:
-    df = chunking.chunks(once(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0, max_chunks_per_article=3))
+    df = chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0, max_chunks_per_article=3))
     return df.select("chunk_id", "article_id", *(f"metadata.{c}" for c in ("chunk_index", "num_chunks", "token_count", "chunk_chars")), F.col("metadata.truncated_article").alias("truncated"))
 
 
 @query(
-    f"WITH c AS ({_chunk(450, 80)}), s AS (SELECT count(*) AS articles_read, count_if(length(coalesce(x.content, '')) < 300) AS short_articles, count_if({_strip(chr(99) + 'oalesce(x.content, ' + repr('') + ')')} = '') AS empty_articles FROM {_ONCE}) "
+    f"WITH c AS ({_chunk(450, 80)}), s AS (SELECT count(*) AS articles_read, count_if(metadata.is_short) AS short_articles, count_if({_strip(chr(99) + 'oalesce(content, ' + repr('') + ')')} = '') AS empty_articles FROM article_records) "
     "SELECT 'token' AS strategy, count(*) AS chunks_written, 0 AS truncated_articles, CAST(sum(token_count) AS BIGINT) AS total_chunk_tokens, min(token_count) AS min_chunk_tokens, max(token_count) AS max_chunk_tokens, CAST(sum(chunk_chars) AS BIGINT) AS total_chunk_chars, min(chunk_chars) AS min_chunk_chars, max(chunk_chars) AS max_chunk_chars, "
     "any_value(articles_read) AS articles_read, any_value(short_articles) AS short_articles, any_value(empty_articles) AS empty_articles, count(*) / any_value(articles_read) AS avg_chunks_per_article, sum(token_count) / count(*) AS avg_chunk_tokens, sum(chunk_chars) / count(*) AS avg_chunk_chars FROM c, s"
 )
 def chunk_token_stats(spark: SparkSession, folder: str) -> DataFrame:
-    articles = once(spark, folder)
-    return chunking.chunk_stats(articles, chunking.chunks(articles))
+    rows = articles(spark, folder)
+    return chunking.chunk_stats(rows, chunking.chunks(rows))
 
 
 @query()
 def chunk_tail_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(once(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=30))
+    return chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=30))
 
 
 @query()
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(once(spark, folder), ChunkingConfig("langchain_recursive"))
+    return chunking.chunks(articles(spark, folder), ChunkingConfig("langchain_recursive"))
 
 
 @query()
 def chunk_sentence(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(once(spark, folder), ChunkingConfig("llamaindex"))
+    return chunking.chunks(articles(spark, folder), ChunkingConfig("llamaindex"))
 
 
 @query()
 def chunk_structured(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(once(spark, folder), ChunkingConfig("structured"))
+    return chunking.chunks(articles(spark, folder), ChunkingConfig("structured"))
 
 
 @query()
 def chunk_experiment_stats(spark: SparkSession, folder: str) -> DataFrame:
-    articles = once(spark, folder)
-    return chunking.chunk_stats(articles, chunking.experiment(articles, [ChunkingConfig(s) for s in chunking.STRATEGIES]))
+    rows = articles(spark, folder)
+    return chunking.chunk_stats(rows, chunking.experiment(rows, [ChunkingConfig(s) for s in chunking.STRATEGIES]))
 
 
 @query()
 def chunk_sizes_stats(spark: SparkSession, folder: str) -> DataFrame:
-    articles = once(spark, folder)
+    rows = articles(spark, folder)
     out = None
     for size, overlap in ((256, 50), (384, 64), (512, 100)):
-        part = chunking.chunk_stats(articles, chunking.chunks(articles, ChunkingConfig(chunk_size=size, overlap=overlap))).withColumns({"chunk_size": F.lit(size), "overlap": F.lit(overlap)})
+        part = chunking.chunk_stats(rows, chunking.chunks(rows, ChunkingConfig(chunk_size=size, overlap=overlap))).withColumns({"chunk_size": F.lit(size), "overlap": F.lit(overlap)})
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query()
 def chunk_flat(spark: SparkSession, folder: str) -> DataFrame:
-    return flat_chunks.flat_chunks(once(spark, folder))
+    return flat_chunks.flat_chunks(articles(spark, folder))
 
 
 @query()
 def chunk_flat_stats(spark: SparkSession, folder: str) -> DataFrame:
-    articles = once(spark, folder)
-    return flat_chunks.flat_stats(articles, flat_chunks.flat_chunks(articles))
+    rows = articles(spark, folder)
+    return flat_chunks.flat_stats(rows, flat_chunks.flat_chunks(rows))
 
 
 # splits
@@ -377,7 +377,7 @@ def qa_unprocessed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def qa_generation(spark: SparkSession, folder: str) -> DataFrame:
-    return qa.repair(qa.generate(qa.prompts(once(spark, folder)), qa.echo_provider))
+    return qa.repair(qa.generate(qa.prompts(articles(spark, folder)), qa.echo_provider))
 
 
 # similarity
