@@ -1,4 +1,4 @@
-"""Column functions on article text.  All but ``decoded`` are native expressions."""
+"""Column functions on article text.  All but ``composed`` and ``decoded`` are native expressions."""
 
 from __future__ import annotations
 
@@ -14,13 +14,20 @@ from reedmill.functions import patterns as P
 
 
 @F.arrow_udf(StringType())
-def _decoded(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else html.unescape(unicodedata.normalize("NFC", x)) for x in text.to_pylist()], pa.string())
+def composed(text: pa.Array) -> pa.Array:
+    """NFC form.
 
+    Every row goes through: Python's own quick check is several times faster than a pattern in the JVM that would pick
+    out the rows that may change, and a function in Python gets every row anyway, whatever condition stands around it.
+    """
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
-def decoded(text: Column) -> Column:
-    """NFC form with HTML entities decoded once.  Pure ASCII without an ampersand stays in the JVM."""
-    return F.when(text.rlike(r"[&\x80-\x{10FFFF}]"), _decoded(text)).otherwise(text)
+
+@F.arrow_udf(StringType())
+def decoded(text: pa.Array) -> pa.Array:
+    """NFC form with HTML entities decoded once."""
+    nfc = (x and unicodedata.normalize("NFC", x) for x in text.to_pylist())
+    return pa.array([html.unescape(x) if x and "&" in x else x for x in nfc], pa.string())
 
 
 def strip(text: Column) -> Column:

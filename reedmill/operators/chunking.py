@@ -264,9 +264,10 @@ def experiment(articles: DataFrame, configs: list[ChunkingConfig], native: bool
     carried = [F.col("metadata")[c].alias(c) for c in SIZES if c in given]
     rows = articles.select(F.col("article_id").cast("string").alias("article_id"), *fields, "content", F.struct(*carried).alias("carried") if carried else F.lit(None).alias("carried"))
     none = F.array().cast(UNITS)
-    cut = lambda c: token_units(F.col("content"), c.chunk_size, c.overlap) if native else cut_units(c)(F.col("content"))
-    # short contents don't travel to Python
-    rows = rows.withColumns({f"u{i}": F.when(large("content", c), cut(c)).otherwise(none) for i, c in enumerate(configs)})
+    least = min(configs, key=lambda c: c.small_article_chars)
+    cut = lambda c: token_units(F.col("content"), c.chunk_size, c.overlap) if native else cut_units(c)(F.col("large"))
+    # short contents don't travel to Python: a function there gets every row, so that it gets nulls for them
+    rows = rows.withColumn("large", F.when(large("content", least), F.col("content"))).withColumns({f"u{i}": F.when(large("content", c), cut(c)).otherwise(none) for i, c in enumerate(configs)})
     whole = F.array(F.struct(F.col("content").alias("text"), F.lit(0).alias("start"), F.length("content").alias("stop"), T.token_count(F.col("content")).cast("int").alias("tokens"), F.lit("content").alias("structure")))
     small = lambda c: ~blank("content") & (F.length("content") <= c.small_article_chars)
     runs = [

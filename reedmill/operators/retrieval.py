@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,41 +13,125 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from reedmill.functions import patterns as P
+from reedmill.functions import text as T
 
 K1, B = 1.5, 0.75
 RRF = 60
 SALTS = 32
 #: Query vectors that are held at once.
 QUERIES = 2000
+#: Weights that are added at once.
+CELLS = 1 << 22
+#: Digits to which scores are compared, as sums differ in their last ones with the order.
+DIGITS = 9
+
+
+def normal_text(text: Column, lower: bool = True) -> Column:
+    """Composed and in lower case; a null is empty."""
+    text = T.composed(F.coalesce(text, F.lit("")))
+    return F.lower(text) if lower else text
 
 
 def query_terms(text: Column, lower: bool = True) -> Column:
     """Words parted at blanks."""
-    return F.filter(F.split(F.lower(text) if lower else text, P.BLANKS), lambda w: w != "")
+    return F.filter(F.split(normal_text(text, lower), P.BLANKS), lambda w: w != "")
 
 
 def top(scored: DataFrame, k: int, query: str = "query_id", item: str = "doc_id") -> DataFrame:
-    """The k best items per query with their rank; ranked within salts first, so that no query gathers in one task."""
-    order = (F.desc("score"), F.col(item))
+    """The k best items per query with their rank, scores equal to ``DIGITS`` digits by item; ranked within salts first, so that no query gathers in one task."""
+    order = (F.desc(F.round("score", DIGITS)), F.col(item))
     near = scored.withColumn("_s", F.pmod(F.hash(item), F.lit(SALTS)))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy(query, "_s").orderBy(*order))).where(F.col("rank") <= k).drop("_s")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
+class Terms:
+    """The words of a block of queries."""
+
+    def __init__(self, queries: list[tuple[int, list[str]]]) -> None:
+        self.ids = np.array([q for q, _ in queries], np.int64)
+        self.place = {w: i for i, w in enumerate(sorted({w for _, words in queries for w in words}))}
+        self.asked = np.zeros((len(self.place), len(queries)))
+        for k, (_, words) in enumerate(queries):
+            self.asked[[self.place[w] for w in set(words)], k] = 1
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths of some documents, and where words of the queries stand: document, word and how often, by document."""
+        place, size = self.place, len(self.place)
+        parted = [t.split() for t in texts]
+        known = [[place[w] for w in words if w in place] for words in parted]
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in known])
+        pair, tf = np.unique(doc * size + np.fromiter(itertools.chain.from_iterable(known), np.int64, len(doc)), return_counts=True)
+        return np.array([len(x) for x in parted], np.int64), pair // max(size, 1), pair % max(size, 1), tf
+
+
+def bm25_block(texts: DataFrame, terms: Terms, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, score) of the best documents per batch: one scan for the statistics, one for the scores."""
+    size = len(terms.place)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 2, np.int64)
+        for batch in batches:
+            length, _, word, _ = terms.counts(batch.column(1).to_pylist())
+            total[:size] += np.bincount(word, minlength=size)
+            total[size:] += (len(length), length.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 2)), pa.array(total)], names=["i", "n"])
+
+    stats = np.zeros(size + 2, np.int64)
+    for i, n in texts.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n")).collect():  # one row per word of the queries
+        stats[i] = n
+    df, n, mean = stats[:size], stats[size], stats[size + 1] / max(stats[size], 1)
+    weight = terms.asked * np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None]
+    held = max(1, CELLS // max(len(terms.ids), 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            order = np.argsort(ids, kind="stable")
+            length, doc, word, tf = terms.counts(batch.column(1).take(pa.array(order)).to_pylist())
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / max(mean, 1e-300)))
+            scores = np.zeros((len(ids), len(terms.ids)))
+            for a in range(0, len(doc), held):
+                d = doc[a : a + held]
+                heads = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+                scores[d[heads]] += np.add.reduceat(weight[word[a : a + held]] * part[a : a + held, None], heads, axis=0)
+            scores = scores.T
+            best = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
+            query = np.repeat(terms.ids, best.shape[1])
+            found = np.take_along_axis(scores, best, 1).ravel()
+            some = found > 0
+            yield pa.RecordBatch.from_arrays([pa.array(query[some]), pa.array(ids[order][best.ravel()][some]), pa.array(found[some])], names=["query_id", "doc_id", "score"])
+
+    return texts.mapInArrow(score, "query_id long, doc_id long, score double")
+
+
 def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, rank) for documents (doc_id, text) and queries (query_id, text)."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("text")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    words = documents.select("doc_id", query_terms(F.coalesce("text", F.lit(""))).alias("w"))
-    lengths = words.agg(F.avg(F.size("w")).alias("mean"), F.count("*").alias("n"))
-    # only words of queries leave the scan, with their count in the document
-    tf = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(vocabulary) if queries.limit(QUERIES + 1).count() <= QUERIES else vocabulary, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    known = asked.join(df, "term").crossJoin(F.broadcast(lengths))  # lengths is one row
-    known = known.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scored = tf.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
-    return top(scored, k)
+    """(query_id, doc_id, score, rank) for documents (doc_id, text) and queries (query_id, text).
+
+    Queries are held in blocks, as word weights; each batch of documents is scored against a block as a sparse product
+    and keeps its best k, so that no posting is shuffled and a word that stands everywhere is no hot key.  Null and
+    empty texts count as documents without words; documents without a word of the query are not ranked; equal scores
+    rank by doc_id.
+    """
+    count = queries.count()
+    blocks = max(1, -(-count // QUERIES))
+    texts = documents.select("doc_id", normal_text(F.col("text")).alias("text"))
+    out = None
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = part.select("query_id", normal_text(F.col("text")).alias("text")).orderBy("query_id").collect()  # about QUERIES rows
+        terms = Terms([(r.query_id, r.text.split()) for r in rows])
+        if terms.place:
+            found = bm25_block(texts, terms, k, k1, b)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = documents.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    return top(out, k)
+
+
+def with_texts(ranking: DataFrame, documents: DataFrame) -> DataFrame:
+    """A ranking with the title (first line) and the text of each document."""
+    return ranking.join(documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text"), "doc_id")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -406,21 +406,26 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BM25 = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^{_B}]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[^{_B}]+') AS w FROM documents),
 s AS (SELECT avg(len(w)) AS mean, count(*) AS n FROM d),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(question), '[^{_B}]+'))) AS term FROM eval_items),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(nfc_normalize(question)), '[^{_B}]+'))) AS term FROM eval_items),
 p AS (SELECT doc_id, any_value(len(w)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-r AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY 1, 2)
-SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 10
+r AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY 1, 2),
+bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
 """
 
 
-@query(_BM25)
+@query(_BM25 + "SELECT query_id, doc_id, round(score, 6) AS score FROM bm25 WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25(corpus(spark, folder), questions(spark, folder)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(_BM25 + "SELECT query_id, doc_id, CAST(rank AS INT) AS rank, split_part(text, chr(10), 1) AS title, text FROM bm25 JOIN documents USING (doc_id) WHERE rank <= 3")
+def bm25_results(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.with_texts(retrieval.bm25(corpus(spark, folder), questions(spark, folder), 3).select("query_id", "doc_id", "rank"), corpus(spark, folder))
+
+
 def vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """All vectors, and as queries those whose id is divisible by 100."""
     rows = table(spark, folder, "embeddings")
@@ -455,28 +460,47 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.metrics(retrieval.dense(*vectors(spark, folder)), gold).withColumns({c: F.round(c, 6) for c in ("mrr_10", "ndcg_10")})
 
 
-@query()
+@query("SELECT count(*) AS queries, avg(recall_1) AS recall_1, avg(recall_3) AS recall_3, avg(recall_5) AS recall_5, avg(recall_10) AS recall_10, avg(hit_1) AS hit_1, avg(hit_3) AS hit_3, avg(hit_5) AS hit_5, avg(hit_10) AS hit_10, avg(mrr_10) AS mrr_10, avg(ndcg_10) AS ndcg_10 FROM (" + SQL["retrieval_metrics"] + ")")
 def retrieval_mean_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.mean_metrics(retrieval_metrics(spark, folder))
 
 
-def titles(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus(spark, folder).select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
+# Hybrid: each question is asked by its words and by a vector.  The tables hold no vectors of texts, so that the vector
+# with the number of the item or document stands for it; documents without a vector are found by their words alone.
+def hybrid(spark: SparkSession, folder: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The rankings by vectors and by words."""
+    rows = table(spark, folder, "embeddings")
+    items = table(spark, folder, "eval_items").select("item_id")
+    asked = rows.join(items, rows.vec_id == items.item_id % F.lit(97), "right").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense(rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), asked, k), retrieval.bm25(corpus(spark, folder), questions(spark, folder), k)
 
 
-@query()
+_HYBRID = _BM25 + """
+, v AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT item_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM eval_items JOIN embeddings q ON q.vec_id = item_id % 97, embeddings e)),
+a AS (SELECT * FROM v WHERE rank <= 50), b AS (SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 50)
+"""
+_FUSED = "SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM fu) WHERE place <= 10"
+
+
+def fused(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query(_HYBRID + ", fu AS (SELECT query_id, doc_id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score FROM a FULL JOIN b USING (query_id, doc_id)) " + _FUSED)
 def hybrid_reciprocal_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    q = questions(spark, folder)
-    return retrieval.reciprocal_ranks(retrieval.bm25(corpus(spark, folder), q, 50), retrieval.bm25(titles(spark, folder), q, 50)).withColumn("score", F.round("score", 9))
+    return fused(retrieval.reciprocal_ranks(*hybrid(spark, folder)))
 
 
-@query()
+_SCALED = "SELECT query_id, doc_id, CASE WHEN max(score) OVER q > min(score) OVER q THEN (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) ELSE 1 END AS s FROM {} WINDOW q AS (PARTITION BY query_id)"
+
+
+@query(_HYBRID + f", x AS ({_SCALED.format('a')}), y AS ({_SCALED.format('b')}), fu AS (SELECT query_id, doc_id, 0.4 * coalesce(x.s, 0) + 0.6 * coalesce(y.s, 0) AS score FROM x FULL JOIN y USING (query_id, doc_id)) " + _FUSED)
 def hybrid_weighted(spark: SparkSession, folder: str) -> DataFrame:
-    q = questions(spark, folder)
-    return retrieval.weighted(retrieval.bm25(titles(spark, folder), q, 50), retrieval.bm25(corpus(spark, folder), q, 50), 0.2).withColumn("score", F.round("score", 6))
+    return fused(retrieval.weighted(*hybrid(spark, folder), 0.4))
 
 
-@query()
+@query(_BM25 + "SELECT query_id, string_agg('[Nguồn ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM bm25 JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id")
 def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.context(retrieval.bm25(corpus(spark, folder), questions(spark, folder), 5), corpus(spark, folder))
 
