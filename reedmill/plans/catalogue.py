@@ -11,6 +11,7 @@ from reedmill.functions import text as T
 from reedmill.functions.session import spread, table
 from reedmill.operators import chunking, flat_chunks, ingest, profile, qa, retrieval, similarity, splits, strict_csv
 from reedmill.operators.chunking import ChunkingConfig
+from reedmill.plans import chunk_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,8 +49,6 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 _B = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _strip = lambda x: f"regexp_replace({x}, '^[{_B}]+|[{_B}]+$', '', 'g')"
 _tokens = lambda x: f"len(regexp_extract_all({x}, '[^{_B}]+'))"
-_field = lambda c: f"coalesce(nullif({c}, ''), nullif(metadata.{c}, ''), '')"
-_ARTICLES = f"WITH a AS (SELECT row_id, article_id, {', '.join(f'{_field(c)} AS {c}' for c in ('title', 'description', 'category'))}, content, metadata FROM article_records)"
 
 
 # strict CSV (problem 5)
@@ -187,80 +186,70 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # chunking
-_CHUNK = rf"""
-{_ARTICLES}, t AS (
-  SELECT row_id, article_id, title, description, category, content, metadata.is_short AS is_short, length(regexp_extract(content, '^[{_B}]*')) AS lead, regexp_extract_all(content, '[^{_B}]+[{_B}]*') AS w FROM a WHERE {_strip("coalesce(content, '')")} <> ''
-), k AS (
-  SELECT *, CASE WHEN length(content) <= 1000 OR len(w) <= SIZE THEN 1 ELSE 1 + CAST(ceil((len(w) - SIZE) / STEP.0) AS INT) END AS num_chunks FROM t
-), c AS (SELECT *, unnest(range(num_chunks)) AS i FROM k), b AS (
-  SELECT *, length(content) <= 1000 AS small, CASE WHEN length(content) <= 1000 THEN content ELSE {_strip("array_to_string(w[i * STEP + 1 : i * STEP + SIZE], '')")} END AS unit FROM c
-)
-SELECT article_id || '_token_' || CASE WHEN i < 10000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END AS chunk_id, article_id, {_strip("unit")} AS chunk_text,
-  concat_ws(chr(10), CASE WHEN title <> '' THEN 'Tiêu đề: ' || title END, CASE WHEN description <> '' THEN 'Mô tả: ' || description END, CASE WHEN category <> '' THEN 'Chuyên mục: ' || category END, 'Đoạn nội dung:', {_strip("unit")}) AS text,
-  CAST(i AS INT) AS chunk_index, num_chunks, CAST(CASE WHEN small THEN 0 ELSE lead + length(array_to_string(w[1 : i * STEP], '')) END AS INT) AS char_start,
-  CAST(CASE WHEN small THEN length(content) ELSE lead + length(array_to_string(w[1 : i * STEP], '')) + length(unit) END AS INT) AS char_end, {_tokens("unit")} AS token_count, length({_strip("unit")}) AS chunk_chars
-FROM b
-"""
-_chunk = lambda size, overlap: _CHUNK.replace("SIZE", str(size)).replace("STEP", str(size - overlap))
-
+def flat_metadata(df: DataFrame, *more: str) -> DataFrame:
+    names = "chunk_index num_chunks char_start char_end token_count chunk_chars implementation structure content_chars truncated_article".split()
+    return df.select("chunk_id", "article_id", "strategy", "chunk_text", "text", *(f"metadata.{c}" for c in names))
 
-def flat_metadata(df: DataFrame) -> DataFrame:
-    return df.select("chunk_id", "article_id", "chunk_text", "text", *(f"metadata.{c}" for c in ("chunk_index", "num_chunks", "char_start", "char_end", "token_count", "chunk_chars")))
 
-
-@query(_chunk(450, 80))
+@query(chunk_sql.chunks())
 def chunk_token(spark: SparkSession, folder: str) -> DataFrame:
     return flat_metadata(chunking.chunks(articles(spark, folder)))
 
 
-@query(_chunk(45, 8))
+@query(chunk_sql.chunks(size=45, overlap=8, least=0))
 def chunk_token_small_windows(spark: SparkSession, folder: str) -> DataFrame:
     return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0), native=True))
 
 
-@query(f"SELECT * EXCLUDE (n, text, chunk_text, char_start, char_end), CAST(least(n, 3) AS INT) AS num_chunks, n > 3 AS truncated FROM (SELECT * RENAME (num_chunks AS n) FROM ({_chunk(45, 8)})) WHERE chunk_index < 3")
+@query(chunk_sql.chunks(size=45, overlap=8, least=0, most=3))
 def chunk_cap(spark: SparkSession, folder: str) -> DataFrame:
-    df = chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0, max_chunks_per_article=3))
-    return df.select("chunk_id", "article_id", *(f"metadata.{c}" for c in ("chunk_index", "num_chunks", "token_count", "chunk_chars")), F.col("metadata.truncated_article").alias("truncated"))
+    return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=0, max_chunks_per_article=3)))
 
 
-@query(
-    f"WITH c AS ({_chunk(450, 80)}), s AS (SELECT count(*) AS articles_read, count_if(metadata.is_short) AS short_articles, count_if({_strip(chr(99) + 'oalesce(content, ' + repr('') + ')')} = '') AS empty_articles FROM article_records) "
-    "SELECT 'token' AS strategy, count(*) AS chunks_written, 0 AS truncated_articles, CAST(sum(token_count) AS BIGINT) AS total_chunk_tokens, min(token_count) AS min_chunk_tokens, max(token_count) AS max_chunk_tokens, CAST(sum(chunk_chars) AS BIGINT) AS total_chunk_chars, min(chunk_chars) AS min_chunk_chars, max(chunk_chars) AS max_chunk_chars, "
-    "any_value(articles_read) AS articles_read, any_value(short_articles) AS short_articles, any_value(empty_articles) AS empty_articles, count(*) / any_value(articles_read) AS avg_chunks_per_article, sum(token_count) / count(*) AS avg_chunk_tokens, sum(chunk_chars) / count(*) AS avg_chunk_chars FROM c, s"
-)
-def chunk_token_stats(spark: SparkSession, folder: str) -> DataFrame:
-    rows = articles(spark, folder)
-    return chunking.chunk_stats(rows, chunking.chunks(rows))
-
-
-@query()
+@query(chunk_sql.chunks(size=45, overlap=8, least=30))
 def chunk_tail_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=30))
+    return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig(chunk_size=45, overlap=8, min_chunk_tokens=30)))
 
 
-@query()
+@query(chunk_sql.chunks("langchain_recursive"))
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(articles(spark, folder), ChunkingConfig("langchain_recursive"))
+    return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig("langchain_recursive")))
 
 
-@query()
+@query(chunk_sql.chunks("llamaindex"))
 def chunk_sentence(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(articles(spark, folder), ChunkingConfig("llamaindex"))
+    return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig("llamaindex")))
 
 
-@query()
+@query(chunk_sql.chunks("structured"))
 def chunk_structured(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(articles(spark, folder), ChunkingConfig("structured"))
+    return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig("structured")))
 
 
-@query()
+@query(chunk_sql.chunks("structured", 60, 12, 30))
+def chunk_structured_small(spark: SparkSession, folder: str) -> DataFrame:
+    return flat_metadata(chunking.chunks(articles(spark, folder), ChunkingConfig("structured", 60, 12, 30)))
+
+
+@query(chunk_sql.stats(chunk_sql.chunks()))
+def chunk_token_stats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = articles(spark, folder)
+    return chunking.chunk_stats(rows, chunking.chunks(rows))
+
+
+@query(chunk_sql.stats(*map(chunk_sql.chunks, chunking.STRATEGIES)))
 def chunk_experiment_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows = articles(spark, folder)
     return chunking.chunk_stats(rows, chunking.experiment(rows, [ChunkingConfig(s) for s in chunking.STRATEGIES]))
 
 
-@query()
+@query(f"SELECT CAST(sum(chunks_written) AS BIGINT) AS chunks, count(*) AS strategies FROM ({chunk_sql.stats(*map(chunk_sql.chunks, chunking.STRATEGIES))})")
+def chunk_experiment_total(spark: SparkSession, folder: str) -> DataFrame:
+    chunked = chunking.experiment(articles(spark, folder), [ChunkingConfig(s) for s in chunking.STRATEGIES])
+    return chunked.groupBy("strategy").count().agg(F.sum("count").alias("chunks"), F.count("*").alias("strategies"))
+
+
+@query(" UNION ALL ".join(f"SELECT *, {size} AS chunk_size, {overlap} AS overlap FROM ({chunk_sql.stats(chunk_sql.chunks(size=size, overlap=overlap))})" for size, overlap in ((256, 50), (384, 64), (512, 100))))
 def chunk_sizes_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows = articles(spark, folder)
     out = None
@@ -270,12 +259,12 @@ def chunk_sizes_stats(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query()
+@query(chunk_sql.flat())
 def chunk_flat(spark: SparkSession, folder: str) -> DataFrame:
     return flat_chunks.flat_chunks(articles(spark, folder))
 
 
-@query()
+@query(f"SELECT count(DISTINCT article_id) AS articles, count(*) AS chunks, avg(n_tokens) AS avg_tokens, (SELECT count(*) FROM article_records WHERE article_id IS NOT NULL AND NOT regexp_matches(coalesce(replace(content, chr(65279), ' '), ''), '[^{_B}]')) AS skipped_empty FROM ({chunk_sql.flat()})")
 def chunk_flat_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows = articles(spark, folder)
     return flat_chunks.flat_stats(rows, flat_chunks.flat_chunks(rows))
