@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reedmill.functions import patterns as P
 from reedmill.functions import text as T
 from reedmill.functions.session import spread, table
 from reedmill.operators import chunking, flat_chunks, ingest, profile, qa, retrieval, similarity, splits, strict_csv
@@ -121,22 +122,58 @@ def ingest_present_rows(spark: SparkSession, folder: str) -> DataFrame:
     return raw(spark, folder).where(ingest.present()).select("row_id")
 
 
-@query()
+#: The entities that stand in these tables, and what they stand for; the one for the ampersand comes last.
+_ENTITIES = {"&nbsp;": 160, "&#160;": 160, "&lt;": 60, "&gt;": 62, "&#8211;": 8211, "&#8230;": 8230, "&#x27;": 39, "&ldquo;": 8220, "&rdquo;": 8221, "&quot;": 34, "&amp;": 38}
+_END = r"([^\p{L}\p{M}\p{N}_]|$)"
+
+
+def _clean(x: str, urls: bool = False) -> str:
+    """The cleaning pipeline as an expression."""
+    out = f"nfc_normalize(CASE WHEN lower({x}) = 'nan' THEN '' ELSE coalesce({x}, '') END)"
+    for entity, code in _ENTITIES.items():
+        out = f"replace({out}, '{entity}', chr({code}))"
+    out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
+    if urls:
+        out = f"regexp_replace({out}, '(?i)https?://[^{_B}]+|www\\.[^{_B}]+', ' ', 'g')"
+    out = f"regexp_replace({out}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])({'|'.join(P.GLUED_PREFIXES)})([A-ZÀ-ỸĐ])', '\\1\\2 \\3', 'g')"
+    out = f"regexp_replace({out}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])({P.GLUED_NUMBER_PREFIX})([0-9])', '\\1\\2 \\3', 'g')"
+    for _ in range(4):  # words in a row are parted from left to right
+        out = f"regexp_replace({out}, '(?i)([{P.GLUED_AFTER}])((?:{'|'.join(P.GLUED_WORDS)})+){_END}', '\\1 \\2\\3', 'g')"
+    return _strip(f"regexp_replace(regexp_replace({out}, '[{_B}]*[\\n\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}][{_B}]*', E'\\n', 'g'), '[ \\t\\f\\v]+', ' ', 'g')")
+
+
+_FLAGS = f"list_filter([CASE WHEN length(content) < 300 THEN 'short_content' END, CASE WHEN length(content) > 20000 THEN 'long_content' END, CASE WHEN regexp_matches(raw_content, '<[^>]+>') OR regexp_matches(raw_content, '&[a-z]+;') THEN 'html_like' END, CASE WHEN regexp_matches(raw_content, '(?i)https?://[^{_B}]+|www\\.[^{_B}]+') THEN 'url_like' END], lambda x: x IS NOT NULL)"
+_FLAG_COUNTS = ", ".join(f"count_if(list_contains(quality_flags, '{f}')) AS {f}" for f in ingest.FLAGS)
+_INGESTED = f"""
+WITH c AS (SELECT row_id, {_clean('article_id', True)} AS article_id, {', '.join(f'{_clean(c)} AS {c}' for c in ('title', 'description', 'content', 'category'))}, content AS raw_content FROM article_records WHERE {_PRESENT}),
+i AS (
+  SELECT row_id, article_id, title, description, content, category, 'Tiêu đề: ' || title || chr(10) || 'Mô tả: ' || description || chr(10) || 'Chuyên mục: ' || category || chr(10) || 'Nội dung:' || CASE WHEN content <> '' THEN chr(10) || content ELSE '' END AS text,
+    length(content) AS content_chars, length(title) AS title_chars, length(description) AS description_chars, length(content) < 300 AS is_short, length(content) > 20000 AS is_long,
+    {_FLAGS} AS quality_flags, raw_content FROM c
+)
+"""
+
+
+@query(_INGESTED + "SELECT * EXCLUDE (raw_content) FROM i")
 def ingest_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.articles(raw(spark, folder), extra=("row_id",)).drop("raw_content")
+    return ingest.articles(raw(spark, folder), extra=("row_id",)).select("row_id", "article_id", "title", "description", "content", "category", "text", *(f"metadata.{c}" for c in chunking.SIZES), "quality_flags")
 
 
-@query()
+@query(_INGESTED + f"SELECT (SELECT count(*) FROM article_records) AS rows_read, (SELECT count_if(NOT ({_PRESENT})) FROM article_records) AS missing_required, count(*) AS rows_written, {_FLAG_COUNTS} FROM i")
 def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
-    rows = raw(spark, folder)
-    return ingest.counters(rows, ingest.articles(rows))
+    return ingest.counters(raw(spark, folder))
 
 
-@query()
+@query(_INGESTED + "SELECT row_id, article_id, title, category, quality_flags, substring(raw_content, 1, 800) AS raw_content_preview, substring(content, 1, 800) AS clean_content_preview FROM i WHERE len(quality_flags) > 0 OR raw_content <> content ORDER BY row_id LIMIT 200")
 def ingest_review(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.review_rows(ingest.articles(raw(spark, folder), extra=("row_id",)), "row_id", 200)
 
 
+@query(f"SELECT row_id, {_clean('content')} AS content FROM article_records")
+def clean_text(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).select("row_id", T.clean(F.col("content")).alias("content"))
+
+
 @query(
     f"SELECT row_id, list_filter([CASE WHEN length(coalesce(content, '')) < 300 THEN 'short_content' END, CASE WHEN length(coalesce(content, '')) > 20000 THEN 'long_content' END, "
     f"CASE WHEN regexp_matches(content, '<[^>]+>') OR regexp_matches(content, '&[a-z]+;') THEN 'html_like' END, CASE WHEN regexp_matches(content, '(?i)https?://[^{_B}]+|www\\.[^{_B}]+') THEN 'url_like' END], lambda x: x IS NOT NULL) AS flags FROM article_records"
@@ -339,12 +376,27 @@ def qa_groups(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.withColumn("items", F.transform("items", lambda x: F.struct(*(x[c].alias(c) for c in ("question", "qa_type", "answers", "is_possible", "plausible_answers")))))
 
 
-@query()
+_TEXTS = "CAST([] AS VARCHAR[])"
+_MOVED = f"CASE WHEN len(coalesce(x.plausible_answers, {_TEXTS})) > 0 THEN x.plausible_answers ELSE coalesce(x.answers, {_TEXTS}) END[1:2]"
+_KIND = _strip("coalesce(x.qa_type, '')")
+
+
+@query(f"""
+WITH g AS (SELECT article_id, list({{question: question, qa_type: qa_type, answers: answers, is_possible: is_possible, plausible_answers: plausible_answers}} ORDER BY id, question NULLS FIRST, qa_type NULLS FIRST, answers NULLS FIRST, is_possible NULLS FIRST, plausible_answers NULLS FIRST) AS items FROM qa_output WHERE article_id IS NOT NULL AND article_id NOT LIKE '[%' GROUP BY 1),
+e AS (SELECT article_id, i, len(items) AS n, items[i] AS x FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM g)),
+k AS (SELECT *, CASE WHEN lower({_KIND}) IN ({", ".join(f"'{t}'" for t in qa.SINGLE_TYPES)}) THEN lower({_KIND}) WHEN x.is_possible IS NOT DISTINCT FROM false THEN 'unanswerable' ELSE 'factoid' END AS kind FROM e),
+h AS (SELECT *, n >= 5 AND i = n AND NOT bool_or(kind IN ('unanswerable', 'claim_verification')) OVER (PARTITION BY article_id) AS forced FROM k)
+SELECT article_id || '_' || i AS id, article_id, x.question AS question, CASE WHEN forced THEN 'unanswerable' ELSE kind END AS qa_type, CASE WHEN forced OR kind = 'unanswerable' THEN {_TEXTS} ELSE x.answers END AS answers, NOT (forced OR kind = 'unanswerable') AS is_possible,
+  CASE WHEN forced OR (kind = 'unanswerable' AND len(coalesce(x.answers, {_TEXTS})) > 0) THEN {_MOVED} ELSE x.plausible_answers END AS plausible_answers FROM h
+""")
 def qa_repair(spark: SparkSession, folder: str) -> DataFrame:
     return qa.repair(qa_groups(spark, folder))
 
 
-@query()
+@query(f"""
+SELECT concat_ws('_', 'cross', regexp_extract(id, '^cross_(\\d+)_', 1), '1') AS id, CAST(CAST(article_id AS JSON) AS BIGINT[]) AS article_id, coalesce(question, '') AS question, CASE WHEN qa_type IN ({", ".join(f"'{t}'" for t in qa.CROSS_TYPES)}) THEN qa_type ELSE '{qa.CROSS_TYPES[0]}' END AS qa_type, coalesce(answers, {_TEXTS}) AS answers,
+  coalesce(is_possible, true) AS is_possible, coalesce(plausible_answers, {_TEXTS}) AS plausible_answers, CAST(CAST(article_id AS JSON) AS BIGINT[]) AS source_article_ids FROM qa_output WHERE article_id LIKE '[%'
+""")
 def qa_repair_cross(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "qa_output").where("article_id like '[%'")
     item = F.struct("question", "qa_type", "answers", "is_possible", "plausible_answers")
@@ -370,7 +422,21 @@ def qa_generation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # similarity
-@query()
+_SAMPLED = f"""
+WITH o AS (SELECT category, article_id, arg_min({{t: title, d: description, c: content}}, row_id) AS x FROM article_records WHERE category IS NOT NULL AND article_id IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT category, article_id, x.t AS title, x.d AS description, x.c AS content FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', CAST(article_id AS VARCHAR), '0')), article_id) AS r FROM o) WHERE r <= {similarity.SAMPLE})
+"""
+
+
+@query(f"""{_SAMPLED},
+w AS (SELECT category, article_id, unnest(regexp_extract_all(lower(concat_ws(' ', coalesce(title, 'nan'), coalesce(description, 'nan'), substring(coalesce(content, 'nan'), 1, 500))), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}]+')) AS term FROM s),
+tf AS (SELECT category, article_id, term, count(*) AS tf FROM w WHERE length(term) >= 2 GROUP BY ALL),
+df AS (SELECT * FROM (SELECT category, term, count(*) AS df, row_number() OVER (PARTITION BY category ORDER BY sum(tf) DESC, term) AS r FROM tf GROUP BY 1, 2) WHERE r <= {similarity.FEATURES}),
+n AS (SELECT category, count(*) AS n FROM s GROUP BY 1),
+x AS (SELECT category, article_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (category, term) JOIN n USING (category)),
+v AS (SELECT category, article_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY category, article_id)) AS w FROM x)
+SELECT a.category, a.article_id AS a, b.article_id AS b, round(sum(a.w * b.w), 6) AS similarity FROM v a JOIN v b ON a.category = b.category AND a.term = b.term AND a.article_id < b.article_id GROUP BY ALL
+""")
 def tfidf_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.pairs(similarity.weights(similarity.sampled(records(spark, folder)))).withColumn("similarity", F.round("similarity", 6))
 
@@ -380,7 +446,7 @@ def cross_groups(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.cross_groups(records(spark, folder)).withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query(f"{_SAMPLED} SELECT category, CAST(g AS INT) AS group_no, list(article_id ORDER BY article_id) AS article_ids FROM (SELECT *, (row_number() OVER (PARTITION BY category ORDER BY article_id) - 1) // {similarity.GROUP} AS g FROM s) WHERE g < {similarity.GROUPS_PER_CATEGORY} GROUP BY 1, 2 HAVING count(*) = {similarity.GROUP}")
 def cross_triples(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.triples(records(spark, folder))
 
