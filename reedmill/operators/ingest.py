@@ -51,7 +51,7 @@ def articles(raw: DataFrame, config: PreprocessConfig = PreprocessConfig(), extr
 def review_rows(records: DataFrame, order: str, most: int | None = 100) -> DataFrame:
     """Records with a flag or a changed content, the first ones in the given order, with previews."""
     picked = records.where((F.size("quality_flags") > 0) | ~F.col("raw_content").eqNullSafe(F.col("content")))
-    picked = picked.select(order, "article_id", "title", "category", "quality_flags", T.preview(F.col("raw_content")).alias("raw_content_preview"), T.preview(F.col("content")).alias("clean_content_preview"))
+    picked = picked.select(*dict.fromkeys((order, "article_id")), "title", "category", "quality_flags", T.preview(F.col("raw_content")).alias("raw_content_preview"), T.preview(F.col("content")).alias("clean_content_preview"))
     return picked if most is None else picked.orderBy(order).limit(most)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +27,32 @@ def csv_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *quoted).alias("value"))
 
 
+def text(spark: SparkSession, content: str, path: str, byte_order_mark: bool = False) -> None:
+    """One file with a text, written by the driver through the cluster's file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(("\ufeff" if byte_order_mark else "").encode() + content.encode()))
+    finally:
+        out.close()
+
+
+def csv_with_mark(df: DataFrame, path: str, order: str) -> None:
+    """CSV for spreadsheets: every part begins with a byte order mark and the header, so that each opens on its own."""
+    head = "\ufeff" + ",".join(f'"{c}"' for c in df.columns)
+    rows = csv_text(df.sortWithinPartitions(order))
+    rows.mapInArrow(lambda batches: _headed(batches, head), "value string").write.text(path)
+
+
+def _headed(batches: Iterator[pa.RecordBatch], head: str) -> Iterator[pa.RecordBatch]:
+    above = [head]
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(above + batch.column(0).to_pylist(), pa.string())], names=["value"])
+            above = []
+
+
 def parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path, compression="snappy")
 
@@ -40,7 +68,7 @@ def summary(stats: list[Row], configs: dict[str, dict], outputs: dict[str, str])
     return json.dumps({s: {"output_path": outputs.get(s), "config": configs.get(s, {}), "stats": v} for s, v in by.items()}, ensure_ascii=False, indent=2)
 
 
-def report(stats: list[Row], title: str = "Chunking report") -> str:
+def report(stats: list[Row] | list[dict], title: str = "Chunking report") -> str:
     """Markdown table of the statistics of each strategy, averages rounded to four digits."""
     head = ["strategy", "chunks", "chunks/article", "tokens/chunk", "min tokens", "max tokens", "chars/chunk"]
     fields = ["strategy", "chunks_written", "avg_chunks_per_article", "avg_chunk_tokens", "min_chunk_tokens", "max_chunk_tokens", "avg_chunk_chars"]
