@@ -4,7 +4,7 @@ Method: the openings of all responses are clustered by the similarity of their s
 0.8 and more, without MinHash bands: openings are so short that all such pairs are found exactly; a cluster that recurs behind unrelated prompts and speaks in the voice of an answerer that declines is a
 refusal template; its shingles reveal the refusals among all answers that decline, and all answers that begin like it
 are refusals if most of them decline.  What declines is told by lists of wordings (``DECLINES``).  Checks of copying, language and
-termination label the rest; what a complete ending is follows from counts of word pairs in all answers.
+termination label the rest; the language is told by how usual the three-letter runs of an answer are in the questions; what a complete ending is follows from counts of word pairs in all answers.
 
 Defined results: a null or empty list of answers, and null answers in it, count as no answer; a null is_possible
 counts as possible; a null question is not copied.  Records written again give one row.
@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +59,19 @@ EXTRA = 3
 
 #: Part of the answers of a class that must decline for all of them to count.
 MOSTLY = 0.5
-
-SYLLABLE = re.compile(
-    r"(?:ngh|ng|nh|gh|gi|kh|ph|qu|th|tr|ch|[bcdghklmnpqrstvx])?"
-    r"(?:(?:oa|oe|uy|ie|ye|uo|ua|ue|uye|oo|[aeiouy])(?:ch|nh|ng|[cmnpt])?|ai|ao|au|ay|eo|eu|ia|ieu|yeu|iu|oai|oay|oao|oeo|oi|uai|uay|ui|uoi|uou|uu|uya|uyu|ya|ye|uay|oi|ei)"
-)
+#: Parts over which the rows of a frequent word are spread.
+SALTS = 8
+
+#: First and last parts of Vietnamese syllables, without accents.
+ONSETS = "ngh ng nh gh gi kh ph qu th tr ch b c d g h k l m n p r s t v x".split() + [""]
+RIMES = [v + c for v in "oa oe uy ie ye uo ua ue uye oo a e i o u y".split() for c in ("", "ch", "nh", "ng", "c", "m", "n", "p", "t")] + "ai ao au ay eo eu ia ieu yeu iu oai oay oao oeo oi uai uay ui uoi uou uu uya uyu ya".split()
+#: Buckets in which three-letter runs are counted, and the part of the way from the usual run of a question to one never
+#: seen beyond which a text is in another language.
+BUCKETS, ALIEN = 1 << 16, 0.45
+#: Runs from which the language can be told.
+LEAST_RUNS = 4
 WORD = re.compile(r"\w+")
+LETTERS = re.compile(r"[^\W\d_]+")
 STOP = ".!?。！？"
 CLOSERS = "\"'”’»)]"
 SIGN = {"“": "”", "(": ")", "[": "]", "«": "»"}
@@ -86,15 +96,65 @@ def copies(question: list[str], answer: list[str]) -> bool:
     return len(answer) <= len(question) and len(answer) >= 0.85 * len(question) and a.strip() in q and len(question) >= 6
 
 
-def foreign(text: str) -> bool:
-    """Whether a text is not Vietnamese: few of its words that are not names are Vietnamese syllables, with or without accents."""
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(not unicodedata.name(c, "").startswith("LATIN") for c in letters) > 0.3 * len(letters):
-        return True
-    words = [w for w in WORD.findall(text) if not any(c.isdigit() for c in w)]
-    common = [w for i, w in enumerate(words) if w[:1].islower() or i == 0 and len(words) > 3]
-    odd = sum(not SYLLABLE.fullmatch(fold(w)) for w in common)
-    return odd >= 2 and odd >= 0.3 * len(common)
+def runs(word: str) -> list[int]:
+    """The buckets of a folded word's three-letter runs, its edges included."""
+    word = f"^{word}$"
+    return [zlib.crc32(word[i : i + 3].encode()) % BUCKETS for i in range(len(word) - 2)]
+
+
+class Language:
+    """How usual the three-letter runs of a text are in the questions, above a prior of all syllables that can be written."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        n = counts + np.bincount([x for a in ONSETS for b in RIMES for x in runs(a + b)], minlength=BUCKETS)
+        whole = n.sum() + 0.5 * np.count_nonzero(n)
+        self.log = np.log((n + 0.5) / whole)
+        usual, unseen = (n * self.log).sum() / n.sum(), np.log(0.5 / whole)
+        self.bound = usual + ALIEN * (unseen - usual)
+        self.known: dict[str, tuple[float, int]] = {}
+
+    def word(self, word: str) -> tuple[float, int]:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > BUCKETS:
+                self.known.clear()
+            at = runs(word)
+            got = self.known[word] = (float(self.log[at].sum()), len(at))
+        return got
+
+    def foreign(self, text: str) -> bool:
+        """Whether a text is in another language, by its different words that are neither names nor numbers nor single letters."""
+        words = {w for w in LETTERS.findall(text) if not w[0].isupper() and len(w) > 1}
+        scores = [self.word(fold(w)) for w in words]
+        n = sum(k for _, k in scores)
+        return n >= LEAST_RUNS and sum(x for x, _ in scores) < self.bound * n
+
+
+def language(pairs: DataFrame) -> Language:
+    """Learnt from all questions: a table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        total = np.zeros(BUCKETS, np.int64)
+
+        def add() -> None:
+            for w, n in seen.items():
+                np.add.at(total, runs(w), n)
+            seen.clear()
+
+        for batch in batches:
+            for q in canonical(batch.column(0)).to_pylist():
+                seen.update(fold(w) for w in LETTERS.findall(q))
+            if len(seen) > BUCKETS:
+                add()
+        add()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["b", "n"])
+
+    total = np.zeros(BUCKETS, np.int64)
+    for b, n in pairs.where("question is not null").select("question").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n")).collect():  # at most BUCKETS rows
+        total[b] = n
+    return Language(total)
 
 
 def ending(text: str) -> str:
@@ -119,17 +179,17 @@ def proper(words: list[str]) -> bool:
     return 0 < len(words) <= 6 and all(w[0].isupper() or w[0].isdigit() for w in words) and (len(words) > 1 or words[0].isdigit())
 
 
-ANSWERS = "id string, n int, prompt string, words array<string>, prompt_words array<string>, copy boolean, foreign boolean, ending string, proper boolean, curt boolean, voice boolean, stops array<boolean>, exact array<string>"
+ANSWERS = "id string, n int, prompt string, words array<string>, copy boolean, foreign boolean, ending string, proper boolean, curt boolean, voice boolean, stops array<boolean>, exact array<string>"
 
 
-def features(pairs: DataFrame) -> DataFrame:
+def features(pairs: DataFrame, spoken_in: Language) -> DataFrame:
     """One row per answer with a letter or digit, of pairs that are not marked as impossible."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ns = batch.column(0), batch.column(1)
             questions, answers = (canonical(batch.column(i)).to_pylist() for i in (2, 3))
-            cols: list[list] = [[] for _ in range(11)]
+            cols: list[list] = [[] for _ in range(10)]
             for q, a in zip(questions, answers, strict=True):
                 raw = WORD.findall(a)
                 spans = [m.end() for m in WORD.finditer(a)]
@@ -138,12 +198,12 @@ def features(pairs: DataFrame) -> DataFrame:
                 joined = f" {' '.join(aw)} "
                 spoken = any(f" {s} " in joined for s in SPEAKERS) and any(f" {d} " in joined for d in DECLINES) or WITHIN.search(fold(a)) is not None
                 stops = [bool(re.match(r"[\"'”’»)\]]*[.!?。！？;](?!\.\.)[\"'”’»)\]]*(?:\s|$)|[\"'”’»)\]]*\s*\n", a[e:])) for e in spans]
-                row = (" ".join(qw[:2]), aw, qw, copies(qw, aw_full), foreign(a), ending(a), proper(raw), CURT.fullmatch(joined.strip()) is not None, spoken, stops, [re.sub(r"\d+", "0", w.casefold()) for w in raw])
+                row = (" ".join(qw[:2]), aw, copies(qw, aw_full), spoken_in.foreign(a), ending(a), proper(raw), CURT.fullmatch(joined.strip()) is not None, spoken, stops, [re.sub(r"\d+", "0", w.casefold()) for w in raw])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.string()))
+            kinds = (pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.string()))
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            names = ["id", "n", "prompt", "words", "prompt_words", "copy", "foreign", "ending", "proper", "curt", "voice", "stops", "exact"]
+            names = ["id", "n", "prompt", "words", "copy", "foreign", "ending", "proper", "curt", "voice", "stops", "exact"]
             yield pa.RecordBatch.from_arrays([ids, ns, *arrays], names=names)
 
     exploded = pairs.where("is_possible is null or is_possible").select("id", F.posexplode("answers").alias("n", "answer"), "question")
@@ -171,29 +231,37 @@ def connected(edges: DataFrame) -> DataFrame:
         label = label.select("s", "root")
 
 
-def opening_clusters(answers: DataFrame) -> DataFrame:
-    """Per distinct opening: its shingles, the class it belongs to, and the prompts behind it; every opening has a class."""
+def opening_clusters(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per distinct opening: its shingles and the class it belongs to (every opening has one); and the openings with the prompts behind them."""
     opening = F.slice("words", 1, OPENING)
     named = answers.where("not copy").select(opening.alias("words"), "prompt", "voice", "curt")
-    distinct = named.groupBy("words").agg(F.collect_set("prompt").alias("prompts"), F.max("voice").alias("voice"), F.max("curt").alias("curt"), F.count("*").alias("said"), F.count_if(F.col("voice") | F.col("curt")).alias("declined"))
-    # prompts: distinct first two words of questions behind one opening, a short list; of the openings only fingerprints move on
-    distinct = cut_lineage(distinct.select(F.xxhash64("words").alias("o"), "prompts", "voice", "curt", "said", "declined", F.array_sort(shingles()).alias("sh")).withColumn("s", F.xxhash64("sh")))
+    # counted per prompt first: what an opening is said to is never gathered, its prompts stay rows
+    by_prompt = cut_lineage(named.groupBy("words", "prompt").agg(F.max("voice").alias("voice"), F.max("curt").alias("curt"), F.count("*").alias("said"), F.count_if(F.col("voice") | F.col("curt")).alias("declined")))
+    distinct = by_prompt.groupBy("words").agg(F.max("voice").alias("voice"), F.max("curt").alias("curt"), F.sum("said").alias("said"), F.sum("declined").alias("declined"))
+    # of the openings only fingerprints move on
+    distinct = cut_lineage(distinct.select(F.xxhash64("words").alias("o"), "voice", "curt", "said", "declined", F.array_sort(shingles()).alias("sh")).withColumn("s", F.xxhash64("sh")))
     sets = distinct.select("s", "sh").dropDuplicates(["s"])
     n = F.size("sh")
     # each set meets those that it has when one shingle is left out: as many rows as shingles, however often a set recurs
     less = sets.where(n - 1 >= SIMILARITY * n).select(F.explode(F.transform("sh", lambda x: F.xxhash64(F.filter("sh", lambda y: y != x)))).alias("a"), F.col("s").alias("b"))
     roots = connected(less.join(sets.select(F.col("s").alias("a")), "a"))
-    return distinct.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+    return distinct.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), by_prompt.select(F.xxhash64("words").alias("o"), "prompt")
 
 
-def revealed(clusters: DataFrame) -> DataFrame:
+def revealed(clusters: DataFrame, prompts: DataFrame) -> DataFrame:
     """Of the classes that recur behind unrelated prompts and in which an answerer declines: the openings, and whether most answers of the class decline."""
-    spread = clusters.select("root", F.explode("prompts").alias("prompt")).groupBy("root").agg(F.countDistinct("prompt").alias("spread"))
-    voices = clusters.groupBy("root").agg(F.sum("said").alias("all_said"), F.sum("declined").alias("all_declined"))
-    reveal = spread.where(F.col("spread") >= UNRELATED).join(voices.where("all_declined > 0"), "root")
+    voices = clusters.groupBy("root").agg(F.sum("said").alias("all_said"), F.sum("declined").alias("all_declined")).where("all_declined > 0")
+    spread = prompts.join(clusters.join(voices, "root", "left_semi").select("o", "root"), "o").groupBy("root").agg(F.countDistinct("prompt").alias("spread"))
+    reveal = spread.where(F.col("spread") >= UNRELATED).join(voices, "root")
     return clusters.join(reveal.select("root", (F.col("all_declined") >= MOSTLY * F.col("all_said")).alias("mostly")), "root")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join with a table of one row per key, which is repeated ``SALTS`` times: frequent words are hot keys of the rows."""
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
 def final_counts(answers: DataFrame) -> DataFrame:
     """Of each pair of adjacent words in all answers: how often it ends a sentence, an answer without full stop, or neither."""
     n = F.size("exact")
@@ -208,8 +276,9 @@ def defects(pairs: DataFrame) -> DataFrame:
     said = F.exists("answers", lambda x: F.coalesce(x.rlike(r"[\p{L}\p{N}]"), F.lit(False)))
     plain = pairs.select("id", F.when(~F.coalesce("is_possible", F.lit(True)) & said, "flag_mismatch").when(F.coalesce("is_possible", F.lit(True)) & ~said, "empty_answer").alias("defect")).where("defect is not null")
 
-    answers = cut_lineage(features(pairs))
-    stock = cut_lineage(revealed(cut_lineage(opening_clusters(answers))))
+    answers = cut_lineage(features(pairs, language(pairs)))
+    clusters, prompts = opening_clusters(answers)
+    stock = cut_lineage(revealed(cut_lineage(clusters), prompts))
     lexicon = stock.where("voice or curt").select(F.explode("sh").alias("sh")).distinct()
     own = answers.where("not copy").select("id", "n", F.explode(shingles()).alias("sh"), "voice", "curt")
     spoken = own.where("voice or curt").join(lexicon, "sh", "left_semi").select("id", "n")
@@ -221,7 +290,8 @@ def defects(pairs: DataFrame) -> DataFrame:
     second = counts.groupBy("w2").agg(F.sum("inside").alias("w2_inside"), F.sum("stopped").alias("w2_stopped"), F.sum("final").alias("w2_final"))
     again = answers.where("ending = 'open'").groupBy(F.xxhash64("exact").alias("whole")).agg(F.count("*").alias("again"))
     judged = answers.join(refused, ["id", "n"], "left").withColumns({"w1": at(-2), "w2": at(-1), "whole": F.xxhash64("exact")})
-    judged = judged.join(counts, ["w1", "w2"], "left").join(first, "w1", "left").join(second, "w2", "left").join(again, "whole", "left")
+    for table, keys in ((counts, ["w1", "w2"]), (first, ["w1"]), (second, ["w2"]), (again, ["whole"])):
+        judged = spread_join(judged, table, keys)
     judged = judged.fillna(0, ["stopped", "final", "inside", "first", "w2_inside", "w2_stopped", "w2_final", "again"])
     every = F.col("stopped") + F.col("final") + F.col("inside")
     ends_sentences = (F.col("stopped") >= 1) & (F.col("stopped") >= 0.01 * every)

@@ -3,6 +3,10 @@
 Method: tokens are summed per source, a repetition rate follows for each source, and every document is emitted
 ``floor(rate)`` times plus one more copy drawn by a seeded hash with the fraction as its probability.
 
+The rates are those at which each source has its part of the total size of all documents with a source.  A source that
+falls short (its documents are too few even at ``max_repeats``) gives all it has; the mixture is smaller by what it
+lacks, and the actual shares of the others are larger in proportion, which ``shares`` reports beside the targets.
+
 Documents without a source take no part; a null or empty text has no tokens; a source without a weight is not used.
 """
 
@@ -17,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from reedmill.functions.session import cut_lineage
+
 MEMO = 1 << 20
 #: Size up to which the weights are broadcast.
 MAX_SOURCES = 100_000
@@ -67,11 +73,16 @@ def token_count(text: Column, vocabulary: str | None = None) -> Column:
     return tokens(text)
 
 
+def small(sources: DataFrame) -> DataFrame:
+    """A table of one row per source, to be broadcast if its size allows it."""
+    return F.broadcast(sources) if sources.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else sources
+
+
 def rates(documents: DataFrame, weights: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per weighted source: its size, target, repetition rate, and whether it falls short of the target."""
     sizes = documents.where("source is not null").select("source", token_count(F.col("text"), vocabulary).alias("tokens")).groupBy("source").agg(F.sum("tokens").alias("size"), F.count("*").alias("documents"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    rows = F.broadcast(weights.limit(MAX_SOURCES)).join(sizes, "source", "left") if weights.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else weights.join(sizes, "source", "left")
+    rows = small(weights).join(sizes, "source", "left")
     rows = rows.crossJoin(F.broadcast(total)).withColumn("size", F.coalesce("size", F.lit(0)))  # total is one row
     target = F.col("target_pct") * F.col("total") / 100
     rate = F.when(F.col("size") > 0, F.least(F.col("max_repeats").cast("double"), target / F.col("size"))).otherwise(0.0)
@@ -83,7 +94,7 @@ def mix(documents: DataFrame, rate: DataFrame, key: str = "doc_id", seed: int =
     chance = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) / float(1 << 53)
     whole = F.floor("rate")
     copies = (whole + (chance < F.col("rate") - whole).cast("long")).cast("int")
-    used = documents.select(key, "source").join(F.broadcast(rate.select("source", "rate")), "source").withColumn("copies", copies).where("copies > 0")
+    used = documents.select(key, "source").join(small(cut_lineage(rate.select("source", "rate"))), "source").withColumn("copies", copies).where("copies > 0")
     return used.select(key, "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
 

@@ -137,6 +137,11 @@ WITH t AS (
 """.replace("{_W}", _W)
 
 SQL: dict[str, str] = {
+    # any usual tokenizer tells the same sources: the SQL counts words
+    "p9_found": r"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\s]+')) AS n FROM documents WHERE source IS NOT NULL), t AS (SELECT sum(n) AS total FROM d), s AS (SELECT source, sum(n) AS size FROM d GROUP BY 1)
+SELECT w.source FROM source_weights w LEFT JOIN s USING (source), t WHERE coalesce(size, 0) * max_repeats * 100 < target_pct * total
+""",
     "p10_found": _CUTS + "SELECT doc_id FROM cuts",
     "p10_rates": _CUTS + "SELECT source, count(*) AS documents, count(c.doc_id) AS cut, count(c.doc_id) / count(*) AS rate FROM documents d LEFT JOIN cuts c USING (doc_id) GROUP BY source",
     "p2_found": _POOLS + "SELECT category FROM pools, n WHERE pool * 100 < target_pct * n.n OR pool < min_rows",

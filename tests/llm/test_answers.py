@@ -1,21 +1,31 @@
 import random
 
+import numpy as np
 import pytest
 
-from reedmill.llm.answers import OPENING, copies, defects, ending, fold, foreign, opening_clusters
+from reedmill.llm.answers import BUCKETS, OPENING, Language, copies, defects, ending, fold, language, opening_clusters
 
 GOOD = ["Đội duy tu đường bộ", "Đội duy tu đường bộ là bên nâng cấp cầu.", "Doi duy tu duong bo la ben nang cap cau.", "Bà Ngạc Lam Thượng", "27/3", "478 mét đường", "“318 học viên”", "Nhà máy R&D"]
-OTHER = ["The main reason was the unusually heavy rain.", "Il s'agit de 921 cas près de Lập Thạnh, An Linh, selon la commission.", "Der Grund war das anhaltende Hochwasser.", "Proyek itu ditunda selama 3 hari.", "약 437명이 참여했다."]
+OTHER = ["The main reason was the unusually heavy rain.", "Il s'agit de 921 cas près de Lập Thạnh, An Linh, selon la commission.", "Der Grund war das anhaltende Hochwasser.", "Proyek itu ditunda selama 3 hari.", "약 437명이 참여했다.", "共有0户居民参加了会议。", "Heavy rain", "It rained.", "Le maire", "La ciudad"]
+#: What the rule of syllables tells alone, without any question.
+RULE = Language(np.zeros(BUCKETS, np.int64))
 
 
 @pytest.mark.parametrize("text", GOOD)
 def test_vietnamese(text):
-    assert not foreign(text)
+    assert not RULE.foreign(text)
 
 
 @pytest.mark.parametrize("text", OTHER)
 def test_foreign(text):
-    assert foreign(text)
+    assert RULE.foreign(text)
+
+
+def test_the_language_is_that_of_the_questions(spark):
+    told = "Wie lange dauerten die Arbeiten am Damm|Warum wurde das Projekt verschoben|Wer hat den Bericht geschrieben|Wann wurde die Schleuse geschlossen|Wo liegt das neue Lager der Gemeinde".split("|")
+    df = spark.createDataFrame([(q + f" {i}?",) for q in told for i in range(400)] + [(None,), ("",)], "question string")
+    assert not language(df).foreign("das Projekt wurde verschoben") and language(df).foreign("the committee said it was too late")
+    assert not language(df.limit(0)).foreign("người dân") and not RULE.foreign("") and not RULE.foreign("12")
 
 
 def test_copies_and_endings():
@@ -50,7 +60,7 @@ def test_every_opening_has_the_class_of_brute_force(spark):
     texts = {tuple(core[: rng.randint(3, 9)]) for _ in range(20)} | {(rng.choice("abcdef"), *core[rng.randint(0, 2) :], *rng.choices("xyz", k=rng.randint(0, 3))) for _ in range(150)} | {(f"u{i}", *core) for i in range(30)} | {("x",)}
     texts = sorted({t[:OPENING] for t in texts})
     df = spark.createDataFrame([(list(t), "a b", False, False, False) for t in texts for _ in range(2)], "words array<string>, prompt string, copy boolean, voice boolean, curt boolean")
-    rows = opening_clusters(df).selectExpr("o", "root", "sh").collect()
+    rows = opening_clusters(df)[0].selectExpr("o", "root", "sh").collect()
     assert len(rows) == len(texts)
     root = {r.o: r.o for r in rows}
 
