@@ -38,8 +38,8 @@ RANK = 160
 #: Words in a block, and blocks in the windows that are compared (and doublings up to the longest item).
 BLOCK = 16
 WINDOWS = (3, 6)
-#: Words whose latent vectors are added at once.
-TOKENS = 1 << 16
+#: Words whose latent vectors are added at once: few enough for them to stay in the cache.
+TOKENS = 1 << 12
 COSINE = 0.55
 #: Part of an item's words that must stand in order, and of the weight of its words.
 HELD = 0.6
