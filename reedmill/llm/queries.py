@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 
 from reedmill.functions.session import table
 from reedmill.llm import answers, leaks, markup, mixing, overlap, pieces, quota, truncated, unify
+from reedmill.llm.codepoints import DELETE, PLAIN, tables
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,6 +102,41 @@ WITH keyed AS (
 ), n AS (SELECT sum(pool) // 4 AS n FROM pools)
 """
 
+
+def _form(text: str) -> str:
+    """The one form of a text in SQL: every special character replaced by what the table holds for it, then composed."""
+    t = tables()
+    one: dict[str, str] = {}
+    gone: list[str] = []
+    several: dict[str, str] = {}
+    for cp in map(int, np.flatnonzero((t.kind != PLAIN) | t.has)):
+        if 0xD800 <= cp < 0xE000:
+            continue
+        to = "" if t.kind[cp] == DELETE else unicodedata.normalize("NFC", "".join(map(chr, t.flat[t.where[cp] : t.where[cp] + t.length[cp]]))) if t.has[cp] else chr(cp)
+        if to == chr(cp):
+            continue
+        if not to:
+            gone.append(chr(cp))
+        elif len(to) == 1:
+            one[chr(cp)] = to
+        else:
+            several[chr(cp)] = to
+    quoted = lambda x: x.replace("'", "''").replace("\0", "")
+    out = f"translate({text}, '{quoted(''.join(one))}' || '{quoted(''.join(gone))}', '{quoted(''.join(one.values()))}')"
+    cases = f"MAP {{{', '.join(f"'{quoted(a)}': '{quoted(b)}'" for a, b in several.items())}}}"
+    expanded = f"array_to_string(list_transform(string_split({out}, ''), lambda c: coalesce({cases}[c], c)), '')"
+    return f"nfc_normalize(CASE WHEN regexp_matches({out}, '[{''.join(several)}]') THEN {expanded} ELSE {out} END)"
+
+
+def _joined(text: str) -> str:
+    """The one form with the joiners inside emoji kept."""
+    joiner = r"'([\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])\x{200D}([\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])', '\1' || chr(57344) || '\2', 'g'"
+    return f"replace({_form(f'regexp_replace(regexp_replace({text}, {joiner}), {joiner})')}, chr(57344), chr(8205))"
+
+
+_BLANK = r"regexp_full_match({}, '[\s\p{{Z}}\p{{Cf}}]*')"
+_FORMS = " UNION ALL ".join(f"SELECT '{f}' AS field, row_id, {f} AS raw, {_form(f)} AS form FROM article_records WHERE {f} IS NOT NULL AND NOT {_BLANK.format(f)}" for f in unify.FIELDS)
+
 #: Final words of open ends against the counts of trigrams, as strings; CUTS has the documents that were cut off.
 _W = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _CUTS = r"""
@@ -137,6 +176,8 @@ WITH t AS (
 """.replace("{_W}", _W)
 
 SQL: dict[str, str] = {
+    "p1_found": f"WITH f AS ({_FORMS}) SELECT a.field, least(a.row_id, b.row_id) AS row_id_a, greatest(a.row_id, b.row_id) AS row_id_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form AND a.raw <> b.raw AND a.row_id < b.row_id",
+    "p1_unified": f"SELECT row_id, {', '.join(f'{_joined(f)} AS {f}' for f in unify.FIELDS)} FROM article_records",
     # any usual tokenizer tells the same sources: the SQL counts words
     "p9_found": r"""
 WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\s]+')) AS n FROM documents WHERE source IS NOT NULL), t AS (SELECT sum(n) AS total FROM d), s AS (SELECT source, sum(n) AS size FROM d GROUP BY 1)
