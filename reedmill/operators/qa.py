@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,11 @@ from reedmill.functions import text as T
 #: Types of questions on one article and on several.
 SINGLE_TYPES = ("factoid", "event_summary", "cause_effect", "entity_role", "comparison", "claim_verification", "unanswerable")
 CROSS_TYPES = ("multi_doc_comparison", "timeline")
+#: What a prompt says about each type.
+ABOUT = {
+    "factoid": "một dữ kiện: ai, việc gì, lúc nào, nơi nào, bao nhiêu", "event_summary": "tóm lại việc chính", "cause_effect": "vì sao, hoặc dẫn đến điều gì", "entity_role": "một người hay tổ chức giữ vai trò gì", "comparison": "hai đối tượng trong bài khác nhau ra sao",
+    "claim_verification": "một nhận định đúng hay sai theo bài", "unanswerable": "điều mà bài không cho biết", "multi_doc_comparison": "các bài giống hay khác nhau ở đâu", "timeline": "thứ tự thời gian qua các bài",
+}
 HARD_TYPES = ("unanswerable", "claim_verification")
 ITEM = "array<struct<question: string, qa_type: string, answers: array<string>, is_possible: boolean, plausible_answers: array<string>>>"
 NO_TEXTS = "array<string>"
@@ -103,24 +109,49 @@ def flat(qa: DataFrame) -> DataFrame:
     return qa.select("id", ids.alias("article_id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("qa_type", F.lit("")).alias("qa_type"), F.concat_ws("; ", "answers").alias("answers"), flag.alias("is_possible"), F.concat_ws("; ", "plausible_answers").alias("plausible_answers"), sources.alias("source_article_ids"))
 
 
+def kinds(names: tuple[str, ...]) -> str:
+    """The types of questions as the lines of a prompt that name them."""
+    return "\n".join(f"- {n}: {ABOUT[n]}" for n in names)
+
+
 def prompts(articles: DataFrame, size: int = 3000) -> DataFrame:
+    """One prompt per article: its title and the beginning of its content."""
     return articles.select("article_id", T.prompt(F.col("title"), F.col("content"), size).alias("prompt"))
 
 
-def generate(prompted: DataFrame, reply: Callable[[str], str | None], retries: int = 1) -> DataFrame:
-    """Replies of a provider per article; a call that fails again is left out, as is a reply that is no JSON."""
+def cross_prompts(groups: DataFrame, articles: DataFrame, size: int = 2000) -> DataFrame:
+    """One prompt per group (group_id, article_ids): its articles one after the other, each cut to the size."""
+    rows = groups.select("group_id", F.posexplode("article_ids").alias("at", "article_id")).join(articles.dropDuplicates(["article_id"]), "article_id")
+    one = F.concat(F.lit("--- "), F.col("article_id").cast("string"), F.lit(" ---\n"), T.prompt(F.col("title"), F.col("content"), size))
+    # a group is a handful of articles
+    return rows.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", one.alias("text")))).alias("parts")).select(F.col("group_id").cast("string").alias("article_id"), F.concat_ws("\n", F.transform("parts", lambda x: x["text"])).alias("prompt"))
+
+
+def generate_all(articles: DataFrame, done: DataFrame, groups: DataFrame, reply: Callable[[str], str | None], wait: float = 60.0) -> tuple[DataFrame, DataFrame]:
+    """Both phases, independent of each other: repaired items of the articles without any yet, and of the groups of articles."""
+    single = repair(generate(prompts(unprocessed(articles, done)), reply, wait=wait, about=kinds(SINGLE_TYPES)))
+    items = generate(cross_prompts(groups, articles), reply, wait=wait, about=kinds(CROSS_TYPES)).withColumnRenamed("article_id", "group_id")
+    return single, repair_cross(items.join(groups.select(F.col("group_id").cast("string").alias("group_id"), "article_ids"), "group_id"))
+
+
+def generate(prompted: DataFrame, reply: Callable[[str], str | None], retries: int = 1, wait: float = 0.0, about: str = "") -> DataFrame:
+    """Replies of a provider per article; after a failure it waits before it tries again.  A call that fails again is left out, as is a reply that is no JSON.
+
+    about is said behind each prompt, such as the types of questions to ask.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for p in batch.column(1).to_pylist():
                 answer = None
-                for _ in range(retries + 1):
+                for attempt in range(retries + 1):
                     try:
-                        answer = reply(p)
+                        answer = reply(f"{p}\n{about}" if about else p)
                         break
                     except Exception:  # noqa: BLE001  a provider may fail in any way
-                        continue
+                        if attempt < retries:
+                            time.sleep(wait)
                 out.append(answer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["article_id", "reply"])
 

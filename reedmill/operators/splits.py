@@ -30,6 +30,13 @@ def reducer_stats(df: DataFrame, kept: DataFrame, ids: Iterable[str], key: str =
     return total.crossJoin(counts).withColumn("not_found", F.lit(len(ids)) - F.col("found"))  # one row each
 
 
+def cap_stats(df: DataFrame, n: int, order: str, key: str = "article_id") -> DataFrame:
+    """Of a reducer to the first n rows: rows read, wanted and kept, and how many different ids the kept ones have."""
+    total = df.agg(F.count("*").alias("total"))
+    kept = first_rows(df, n, order).agg(F.count("*").alias("kept"), F.countDistinct(key).alias("distinct_kept_ids"))
+    return total.crossJoin(kept).withColumn("target", F.lit(n))  # one row each
+
+
 def missing_ids(df: DataFrame, wanted: DataFrame, key: str = "article_id") -> DataFrame:
     """Wanted ids that no row has."""
     return wanted.select(key).distinct().join(df.select(key), key, "left_anti")

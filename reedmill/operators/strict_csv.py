@@ -15,7 +15,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("article_id", "title", "description", "content", "category")
@@ -99,6 +99,27 @@ def read_strict(rows: DataFrame, raw: str = "raw_line", keep: tuple[str, ...] =
     return rows.select(*keep, F.col(raw)).mapInArrow(work, schema)
 
 
+def file_records(spark: SparkSession, path: str, skip_header: bool = True) -> DataFrame:
+    """The records of strict CSV files (file_name, line_no of the first line, raw_line), broken ones too.
+
+    A file with quoted line breaks has no place at which it could be split, so that each file is one task's.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = _LINE.findall(text.removeprefix("\ufeff"))
+                held, at = [], 1
+                for record in assemble(lines):
+                    held.append((at, record))
+                    at += record.count("\n") + 1
+                held = held[1 if skip_header else 0 :]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array([n for n, _ in held], pa.int64()), pa.array([r for _, r in held], pa.string())], names=["file_name", "line_no", "raw_line"])
+
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    return texts.mapInArrow(work, "file_name string, line_no long, raw_line string")
+
+
 def rejects(rows: DataFrame) -> DataFrame:
     return read_strict(rows, keep=("row_id",)).where("reason is not null").select("row_id", "reason")
 

@@ -301,6 +301,14 @@ def chunk_flat(spark: SparkSession, folder: str) -> DataFrame:
     return flat_chunks.flat_chunks(articles(spark, folder))
 
 
+@query()
+def chunk_flat_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same on byte pairs of a public tokenizer."""
+    import public_tokenizers
+
+    return flat_chunks.flat_chunks(articles(spark, folder), make=flat_chunks.byte_pairs(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 @query(f"SELECT count(DISTINCT article_id) AS articles, count(*) AS chunks, avg(n_tokens) AS avg_tokens, (SELECT count(*) FROM article_records WHERE article_id IS NOT NULL AND NOT regexp_matches(coalesce(replace(content, chr(65279), ' '), ''), '[^{_B}]')) AS skipped_empty FROM ({chunk_sql.flat()})")
 def chunk_flat_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows = articles(spark, folder)
@@ -328,6 +336,16 @@ def split_stats(spark: SparkSession, folder: str) -> DataFrame:
     return splits.reducer_stats(rows, splits.first_or_listed(rows, FIRST_ROWS, KEEP_IDS, "row_id"), KEEP_IDS)
 
 
+@query(f"SELECT (SELECT count(*) FROM article_records) AS total, count(*) AS kept, count(DISTINCT article_id) AS distinct_kept_ids, {FIRST_ROWS} AS target FROM (SELECT article_id FROM article_records ORDER BY row_id LIMIT {FIRST_ROWS})")
+def split_cap_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.cap_stats(records(spark, folder), FIRST_ROWS, "row_id")
+
+
+@query("SELECT count(DISTINCT category) AS categories FROM article_records")
+def category_count(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, folder).agg(F.countDistinct("category").alias("categories"))
+
+
 @query("SELECT category, row_id FROM (SELECT category, row_id, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '0')), row_id) AS r FROM article_records WHERE category IS NOT NULL) WHERE r <= 50")
 def sample_per_category(spark: SparkSession, folder: str) -> DataFrame:
     return splits.sample_per_group(records(spark, folder), "category", "row_id", 50).select("category", "row_id")
@@ -347,6 +365,11 @@ def qa_missing_references(spark: SparkSession, folder: str) -> DataFrame:
     return qa.missing_references(table(spark, folder, "qa_output"), records(spark, folder))
 
 
+@query(f"SELECT DISTINCT article_id FROM {_REFS} r WHERE article_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM article_records a WHERE TRY_CAST(a.article_id AS BIGINT) = r.article_id) ORDER BY 1 LIMIT 20")
+def qa_first_missing(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.missing_references(table(spark, folder, "qa_output"), records(spark, folder)).where("article_id is not null").select("article_id").distinct().orderBy("article_id").limit(20)
+
+
 @query(f"SELECT split, count(DISTINCT TRY_CAST(article_id AS BIGINT)) AS articles FROM article_records WHERE TRY_CAST(article_id AS BIGINT) IN (SELECT article_id FROM {_REFS}) GROUP BY 1")
 def qa_references_by_split(spark: SparkSession, folder: str) -> DataFrame:
     return qa.references_by_split(table(spark, folder, "qa_output"), records(spark, folder))
@@ -416,7 +439,7 @@ def qa_unprocessed(spark: SparkSession, folder: str) -> DataFrame:
     return qa.unprocessed(records(spark, folder).where("article_id is not null").select("article_id").distinct(), table(spark, folder, "qa_output"))
 
 
-@query()
+@query("SELECT concat_ws('_', article_id, '1') AS id, article_id, split_part(coalesce(title, ''), chr(10), 1) || '?' AS question, 'factoid' AS qa_type, [split_part(coalesce(title, ''), chr(10), 1)] AS answers, true AS is_possible, CAST([] AS VARCHAR[]) AS plausible_answers FROM article_records")
 def qa_generation(spark: SparkSession, folder: str) -> DataFrame:
     return qa.repair(qa.generate(qa.prompts(articles(spark, folder)), qa.echo_provider))
 
@@ -574,7 +597,15 @@ def answer_scores(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "qa_output").where("size(answers) >= 2").select("id", "question", retrieval.exact_match(a, g).alias("em"), F.round(retrieval.token_f1(a, g), 6).alias("f1"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE x AS (SELECT id, question, list_filter(string_split({_A}, ' '), lambda w: w <> '') AS a, list_filter(string_split({_G}, ' '), lambda w: w <> '') AS g, row_number() OVER () AS k FROM qa_output WHERE len(answers) >= 2),
+l AS (  -- one row of the table of common subsequences per word of the answer
+  SELECT k, 0 AS i, list_transform(range(len(g) + 1), lambda j: 0) AS row FROM x
+  UNION ALL
+  SELECT l.k, i + 1, list_prepend(0, list_transform(range(1, len(g) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda m: CASE WHEN a[i + 1] = g[m] THEN greatest(l.row[m] + 1, l.row[j + 1]) ELSE l.row[j + 1] END)))) FROM l JOIN x USING (k) WHERE i < len(a)
+)
+SELECT id, question, round(CASE WHEN len(a) = 0 OR len(g) = 0 THEN CAST(len(a) = len(g) AS INT) ELSE 2.0 * row[len(g) + 1] / (len(a) + len(g)) END, 6) AS rouge_l FROM x JOIN l USING (k) WHERE i = len(a)
+""")
 def answer_rouge_l(spark: SparkSession, folder: str) -> DataFrame:
     a, g = F.get("answers", F.lit(0)), F.get("answers", F.lit(1))
     return table(spark, folder, "qa_output").where("size(answers) >= 2").select("id", "question", F.round(retrieval.rouge_l(a, g), 6).alias("rouge_l"))

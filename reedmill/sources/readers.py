@@ -79,6 +79,13 @@ def splits(spark: SparkSession, folder: str, read, suffix: str, names: tuple[str
     return out
 
 
+def load_split(spark: SparkSession, path: str) -> DataFrame:
+    """One split from a file or folder, by the ending of its name: CSV, JSON lines or Parquet."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    return csv_rows(spark, path, ()) if path.endswith(".csv") else json_lines(spark, path)
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     """Lines that are not blank."""
     return spark.read.text(path).where(F.trim("value") != "").count()

@@ -60,3 +60,18 @@ def test_generation_and_cross_repair(spark):
     cross = spark.createDataFrame([("3", [1, 2], [item("odd", None, None), item("timeline", ["a"], False)])], f"group_id string, article_ids array<bigint>, items {qa.ITEM}")
     rows = sorted(qa.repair_cross(cross).collect(), key=lambda r: r.id)
     assert [(r.id, r.qa_type, r.is_possible, r.source_article_ids) for r in rows] == [("cross_3_1", "multi_doc_comparison", True, [1, 2]), ("cross_3_2", "timeline", False, [1, 2])]
+
+
+def test_both_phases_and_waiting(spark):
+    articles = spark.createDataFrame([("1", "T1", "a" * 9000), ("2", "T2", None), ("3", None, "c")], "article_id string, title string, content string")
+    done = spark.createDataFrame([("1_1", "1")], "id string, article_id string")
+    groups = spark.createDataFrame([(7, [2, 1])], "group_id long, article_ids array<bigint>")
+    single, cross = qa.generate_all(articles, done, groups, qa.echo_provider, wait=0.0)
+    assert {r.article_id for r in single.collect()} == {"2", "3"}
+    assert [(r.id, r.article_id, r.qa_type) for r in cross.collect()] == [("cross_7_1", [2, 1], "multi_doc_comparison")]
+    prompt = qa.cross_prompts(groups, articles).first().prompt
+    assert prompt.index("T2") < prompt.index("T1") and prompt.count("a" * 2000) == 1 and "a" * 2001 not in prompt
+    heard = qa.generate(qa.prompts(articles), lambda p: qa.echo_provider(p) if "- timeline: " in p else None, about=qa.kinds(qa.CROSS_TYPES))
+    assert heard.count() == 3
+    failing = qa.generate(qa.prompts(articles), lambda p: 1 / 0, wait=0.01)
+    assert failing.count() == 0

@@ -5,6 +5,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from reedmill.operators import strict_csv
 from reedmill.operators.strict_csv import articles, assemble, parse, rejects
 
 GRAMMAR = re.compile(r'(?:"(?:[^"]|"")*"|[^",\r\n]*)(?:,(?:"(?:[^"]|"")*"|[^",\r\n]*))*\Z')
@@ -46,3 +47,11 @@ def test_frames(spark):
     assert sorted(map(tuple, rejects(df).collect())) == [(2, "column_count"), (3, "quoting")]
     assert sorted((r.row_id, r.article_id, len(r.content)) for r in articles(df).collect()) == [(1, 5, 1), (4, 7, 300_000)]
     assert rejects(df.limit(0)).count() == 0
+
+
+def test_records_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffid,title,description,content,category\n1,a,b,"c\nd ""e""",f\n2,x\n3,"a"b,c,d,e\r\n4,a,b,nan,e\n5,a,b,c,e', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("id,title,description,content,category\n", encoding="utf-8")
+    rows = strict_csv.file_records(spark, str(tmp_path))
+    got = {(r.file_name, r.line_no): (r.reason, r.content) for r in strict_csv.read_strict(rows, keep=("file_name", "line_no")).collect()}
+    assert got == {("a.csv", 2): (None, 'c\nd "e"'), ("a.csv", 4): ("column_count", None), ("a.csv", 5): ("quoting", None), ("a.csv", 6): ("invalid_value", None), ("a.csv", 7): (None, "c")}
