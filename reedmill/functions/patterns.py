@@ -6,6 +6,8 @@ for blank.
 
 #: What str.split and str.strip take for blank.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as single characters.
+WS_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 BLANKS = f"[{WS}]+"
 TOKEN = f"[^{WS}]+"
 ENDS = f"^[{WS}]+|[{WS}]+$"
