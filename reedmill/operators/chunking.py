@@ -279,7 +279,7 @@ def experiment(articles: DataFrame, configs: list[ChunkingConfig], native: bool
     ]
     rows = rows.select("article_id", *META, "carried", F.explode(F.array(*runs)).alias("run")).select("article_id", *META, "carried", "run.*")
     over = F.coalesce(F.size("units") > F.col("most"), F.lit(False))
-    rows = rows.select("*", over.alias("truncated"), F.least(F.size("units"), F.col("most")).alias("num_chunks"), F.posexplode("units").alias("chunk_index", "unit")).where("most is null or chunk_index < most")
+    rows = rows.select("*", over.alias("truncated"), F.least(F.size("units"), F.col("most")).alias("num_chunks"), F.posexplode_outer("units").alias("chunk_index", "unit")).where("unit is not null and (most is null or chunk_index < most)")
     chunk = T.strip(F.col("unit.text"))
     text = F.when(F.col("inject"), T.embedding_text(*map(F.col, META), chunk)).otherwise(chunk)
     metadata = F.struct(

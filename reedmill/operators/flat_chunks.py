@@ -108,7 +108,8 @@ def flat_chunks(articles: DataFrame, size: int = 512, overlap: int = 96, least:
 
     fields = {c: T.clean_flat(F.col(c)) for c in ("title", "description", "category")}
     rows = articles.where("article_id is not null").select(F.col("article_id").try_cast("bigint").alias("article_id"), *(e.alias(c) for c, e in fields.items()), pack(T.flat_sentences(F.col("content"))).alias("p"))
-    rows = rows.where("article_id is not null").select("article_id", *fields, F.posexplode("p").alias("chunk_index", "p"))
+    # outer, as an inner explode makes the optimiser filter by the packed list below, where it would be packed once more
+    rows = rows.where("article_id is not null").select("article_id", *fields, F.posexplode_outer("p").alias("chunk_index", "p")).where("p is not null")
     return rows.select(
         T.flat_chunk_id(F.col("article_id"), F.col("chunk_index")).alias("chunk_id"), "article_id", *fields, F.lit(source).alias("source"), F.lit("").alias("url"), "chunk_index", F.col("p.n_tokens").alias("n_tokens"), F.col("p.text").alias("text"),
         T.passage_text(F.col("title"), F.col("description"), F.col("p.text")).alias("embedding_text"),
