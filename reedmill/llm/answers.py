@@ -266,7 +266,7 @@ def final_counts(answers: DataFrame) -> DataFrame:
     """Of each pair of adjacent words in all answers: how often it ends a sentence, an answer without full stop, or neither."""
     n = F.size("exact")
     pair = lambda i: F.struct(F.get("exact", i).alias("w1"), F.get("exact", i + 1).alias("w2"), F.get("stops", i + 1).alias("t"), (i + 2 == n).alias("f"))
-    pairs = answers.where((n >= 2) & ~F.col("copy")).select(F.inline(F.transform(F.sequence(F.lit(0), n - 2), pair)))
+    pairs = answers.where((n >= 2) & ~F.col("copy")).select(F.inline_outer(F.transform(F.sequence(F.lit(0), n - 2), pair))).where("w1 is not null")
     return pairs.groupBy("w1", "w2").agg(F.sum(F.col("t").cast("long")).alias("stopped"), F.sum((F.col("f") & ~F.col("t")).cast("long")).alias("final"), F.sum((~F.col("f") & ~F.col("t")).cast("long")).alias("inside"))
 
 
@@ -280,7 +280,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     clusters, prompts = opening_clusters(answers)
     stock = cut_lineage(revealed(cut_lineage(clusters), prompts))
     lexicon = stock.where("voice or curt").select(F.explode("sh").alias("sh")).distinct()
-    own = answers.where("not copy").select("id", "n", F.explode(shingles()).alias("sh"), "voice", "curt")
+    own = answers.where("not copy").select("id", "n", F.explode_outer(shingles()).alias("sh"), "voice", "curt").where("sh is not null")  # outer: an inner one makes the shingles twice
     spoken = own.where("voice or curt").join(lexicon, "sh", "left_semi").select("id", "n")
     begun = answers.where("not copy").select("id", "n", F.xxhash64(F.slice("words", 1, OPENING)).alias("o")).join(stock.where("mostly").select("o"), "o", "left_semi").select("id", "n")
     refused = spoken.union(begun).distinct().withColumn("refusal", F.lit(True))

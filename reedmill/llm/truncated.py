@@ -105,7 +105,8 @@ def trigram_counts(documents: DataFrame, key: str) -> DataFrame:
     texts = documents.where(done).select("text").unionByName(bodies(documents.where(~done), key).select(F.col("body").alias("text")))
     w = texts.select(held(hashes(words(F.col("text")))).alias("h"))  # at least four, with those that stand for ends
     cut = lambda i: F.slice("h", i, F.size("h") - 4)
-    rows = w.select(F.inline(F.arrays_zip(cut(1).alias("a"), cut(2).alias("b"), cut(3).alias("c"), cut(4).alias("d"))))
+    # outer, as an inner one makes the optimiser filter by the zipped list, which would be made once more
+    rows = w.select(F.inline_outer(F.arrays_zip(cut(1).alias("a"), cut(2).alias("b"), cut(3).alias("c"), cut(4).alias("d")))).where("a is not null")
     gram = F.shiftleft(F.col("a"), 2 * BITS).bitwiseOR(F.shiftleft(F.col("b"), BITS)).bitwiseOR(F.col("c"))
     ends = lambda k: F.sum((F.col("d") == code(k)).cast("long"))
     return rows.groupBy(gram.alias("gram")).agg(F.count("*").alias("inside"), ends(STOP).alias("stops"), ends(LINE).alias("lines"), ends(PROSE).alias("prose"))

@@ -43,8 +43,10 @@ def look_alikes(df: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "row
     of the pairs that come out, and a text in a third of all rows with one odd spelling is split.
     """
     shown = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("raw"), F.translate(one_form(f), "\u200d", "").alias("form")) for f in fields))
-    rows = df.select(F.col(key).alias("row_id"), F.inline(shown)).where(~F.coalesce(F.col("raw"), F.lit("")).rlike(r"^[\s\p{Z}\p{Cf}]*$"))
-    rows = rows.select("field", "row_id", F.struct(F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2")).alias("form"), F.struct(F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(1), "raw").alias("r2")).alias("spelling"))
+    # outer, as an inner one makes the optimiser filter by the list below, where the forms would be made once more
+    rows = df.select(F.col(key).alias("row_id"), F.inline_outer(shown)).where(~F.coalesce(F.col("raw"), F.lit("")).rlike(r"^[\s\p{Z}\p{Cf}]*$"))
+    # the fingerprints are written once and read twice
+    rows = cut_lineage(rows.select("field", "row_id", F.struct(F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2")).alias("form"), F.struct(F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(1), "raw").alias("r2")).alias("spelling")))
     form = ["field", "form"]
     several = rows.groupBy(*form).agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select(*form)
     varied = cut_lineage(rows.join(several, form, "left_semi").distinct())
