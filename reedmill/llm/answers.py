@@ -289,7 +289,9 @@ def defects(pairs: DataFrame) -> DataFrame:
     first = counts.groupBy("w1").agg(F.sum(F.col("stopped") + F.col("final") + F.col("inside")).alias("first"))
     second = counts.groupBy("w2").agg(F.sum("inside").alias("w2_inside"), F.sum("stopped").alias("w2_stopped"), F.sum("final").alias("w2_final"))
     again = answers.where("ending = 'open'").groupBy(F.xxhash64("exact").alias("whole")).agg(F.count("*").alias("again"))
-    judged = answers.join(refused, ["id", "n"], "left").withColumns({"w1": at(-2), "w2": at(-1), "whole": F.xxhash64("exact")})
+    # no list of words goes through the joins
+    short = answers.select("id", "n", "copy", "foreign", "ending", "proper", F.size("words").alias("size"), at(-2).alias("w1"), at(-1).alias("w2"), F.xxhash64("exact").alias("whole"))
+    judged = short.join(refused, ["id", "n"], "left")
     for table, keys in ((counts, ["w1", "w2"]), (first, ["w1"]), (second, ["w2"]), (again, ["whole"])):
         judged = spread_join(judged, table, keys)
     judged = judged.fillna(0, ["stopped", "final", "inside", "first", "w2_inside", "w2_stopped", "w2_final", "again"])
@@ -298,6 +300,6 @@ def defects(pairs: DataFrame) -> DataFrame:
     ends_answers = (F.col("inside") >= 1) & (F.col("final") >= 2) & ((F.col("final") >= 0.05 * every) | (F.col("again") >= 3))
     only_final = (F.col("inside") == 0) & (F.col("final") >= 3) & (F.col("final") >= 0.01 * F.col("first")) & (F.col("w2_inside") <= F.col("w2_final") + F.col("w2_stopped"))
     usual = ends_sentences | ends_answers | only_final
-    broken = (F.col("ending") == "cut") | F.col("ending").isin("open", "dots") & ~F.col("proper") & ~(F.size("words") < 2) & ~usual
+    broken = (F.col("ending") == "cut") | F.col("ending").isin("open", "dots") & ~F.col("proper") & ~(F.col("size") < 2) & ~usual
     defect = F.when(F.coalesce("refusal", F.lit(False)), "refusal").when(F.col("copy"), "copies_question").when(F.col("foreign"), "other_language").when(broken, "truncated_answer")
     return plain.union(judged.select("id", defect.alias("defect")).where("defect is not null")).distinct()

@@ -148,7 +148,7 @@ def judged(documents: DataFrame, key: str) -> DataFrame:
     asked = rows.where(~F.col("marked") & ~F.col("number") & (F.col("inside") < FREQUENT) & ((F.col("around") < FREQUENT) | F.col("alone"))).select("doc", "in_prose", two.alias("two"), one.alias("one"))
     of = lambda t, k: t.select(k, F.col("inside").alias(f"inside_{k}"), F.col("lines").alias(f"lines_{k}"), F.col("prose").alias(f"prose_{k}"))
     backed = asked.join(of(pairs, "two"), "two", "left").join(of(singles, "one"), "one", "left")
-    backed = backed.select("doc", *(x for k in ("two", "one") for x in (f"inside_{k}", F.when(F.col("in_prose"), F.col(f"prose_{k}")).otherwise(F.col(f"lines_{k}")).alias(f"ends_{k}"))))
+    backed = backed.dropDuplicates(["doc"]).select("doc", *(x for k in ("two", "one") for x in (f"inside_{k}", F.when(F.col("in_prose"), F.col(f"prose_{k}")).otherwise(F.col(f"lines_{k}")).alias(f"ends_{k}"))))
     rows = rows.join(backed, "doc", "left").fillna(0, ["inside_two", "ends_two", "inside_one", "ends_one"])
     flag = (
         F.when(F.col("marked"), True)
