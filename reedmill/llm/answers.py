@@ -12,6 +12,7 @@ counts as possible; a null question is not copied.  Records written again give o
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -71,6 +72,8 @@ BUCKETS, ALIEN = 1 << 16, 0.45
 #: Runs from which the language can be told.
 LEAST_RUNS = 4
 WORD = re.compile(r"\w+")
+#: What stands behind the last word of a sentence or line.
+STOPS = re.compile(r"[\"'”’»)\]]*[.!?。！？;](?!\.\.)[\"'”’»)\]]*(?:\s|$)|[\"'”’»)\]]*\s*\n")
 LETTERS = re.compile(r"[^\W\d_]+")
 STOP = ".!?。！？"
 CLOSERS = "\"'”’»)]"
@@ -83,6 +86,18 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+@functools.lru_cache(1 << 16)
+def plain_word(word: str) -> str:
+    """A word without accents and case, its numbers as 0."""
+    return re.sub(r"\d+", "0", fold(word))
+
+
+@functools.lru_cache(1 << 16)
+def cased_word(word: str) -> str:
+    """A word without case, its numbers as 0."""
+    return re.sub(r"\d+", "0", word.casefold())
+
+
 WITHIN = re.compile("|".join(re.escape(fold(x)) for x in canonical(pa.array(DECLINES_WITHIN)).to_pylist()))
 
 
@@ -191,14 +206,14 @@ def features(pairs: DataFrame, spoken_in: Language) -> DataFrame:
             questions, answers = (canonical(batch.column(i)).to_pylist() for i in (2, 3))
             cols: list[list] = [[] for _ in range(10)]
             for q, a in zip(questions, answers, strict=True):
-                raw = WORD.findall(a)
-                spans = [m.end() for m in WORD.finditer(a)]
-                qw, aw = WORD.findall(fold(q or "")), [re.sub(r"\d+", "0", fold(w)) for w in raw]
-                aw_full = WORD.findall(fold(a))
+                matches = list(WORD.finditer(a))
+                raw, folded = [m.group() for m in matches], fold(a)
+                qw, aw = WORD.findall(fold(q or "")), [plain_word(w) for w in raw]
+                aw_full = WORD.findall(folded)
                 joined = f" {' '.join(aw)} "
-                spoken = any(f" {s} " in joined for s in SPEAKERS) and any(f" {d} " in joined for d in DECLINES) or WITHIN.search(fold(a)) is not None
-                stops = [bool(re.match(r"[\"'”’»)\]]*[.!?。！？;](?!\.\.)[\"'”’»)\]]*(?:\s|$)|[\"'”’»)\]]*\s*\n", a[e:])) for e in spans]
-                row = (" ".join(qw[:2]), aw, copies(qw, aw_full), spoken_in.foreign(a), ending(a), proper(raw), CURT.fullmatch(joined.strip()) is not None, spoken, stops, [re.sub(r"\d+", "0", w.casefold()) for w in raw])
+                spoken = any(f" {s} " in joined for s in SPEAKERS) and any(f" {d} " in joined for d in DECLINES) or WITHIN.search(folded) is not None
+                stops = [STOPS.match(a, m.end()) is not None for m in matches]
+                row = (" ".join(qw[:2]), aw, copies(qw, aw_full), spoken_in.foreign(a), ending(a), proper(raw), CURT.fullmatch(joined.strip()) is not None, spoken, stops, [cased_word(w) for w in raw])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             kinds = (pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.string()))
