@@ -69,7 +69,8 @@ def controlled_rounding(table: list[list[float]]) -> list[list[int]]:
     """An integer table in which each cell, row sum, column sum and the total is the floor or ceiling of its value."""
     rows, cols = len(table), len(table[0]) if table else 0
     s, t, S, T = range(rows + cols, rows + cols + 4)
-    low_high = lambda x: (math.floor(x + 1e-9 * max(x, 1)), math.ceil(x - 1e-9 * max(x, 1)))
+    near = lambda x: max(1e-9, 4e-15 * x)  # noqa: E731  sums of large quotas are off by more
+    low_high = lambda x: (math.floor(x + near(x)), math.ceil(x - near(x)))
     bounds = [(i, rows + j, *low_high(table[i][j])) for i in range(rows) for j in range(cols)]
     bounds += [(s, i, *low_high(sum(table[i]))) for i in range(rows)]
     bounds += [(rows + j, t, *low_high(sum(r[j] for r in table))) for j in range(cols)]
