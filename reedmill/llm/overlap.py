@@ -11,41 +11,49 @@ that grows with its rarity (``word_weights``), and records that agree in ``ROWS`
 unless the draws of all bands together tell that they share too little.  Stock phrases consist of frequent words and
 lead nothing together.  Draws are by chance: a pair with every tenth word replaced meets with a probability above 0.99
 (``meeting`` gives it for any similarity; the tests measure it), so the recall is not certain, but is far above 0.9.
+Words put in by chance are mostly rare and weigh more than those they replace: with every tenth word replaced by any
+of the corpus and a sentence added, records still agree in about 0.72 of their draws.
 
 Exact copies (in words) are one class per side and are searched once.  Shards and their streams are of bounded size,
 popular shards are split by training record.  The pairs of classes are expanded to records at the end.
 
-Words are compared without case, accents, look-alikes, punctuation and tags.  Contents that are null or shorter
-than ``SHORTEST`` characters take no part.  Records of fewer than five words match copies only.
+Words are compared without case, accents, look-alikes, punctuation and tags, entities as what they stand for
+(``visible``).  Contents that are null, blank or shorter than ``SHORTEST`` characters take no part.  Records of fewer
+than five words match copies only, those without any word (rules, emoji) copies of all their characters but blanks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reedmill.functions.session import cut_lineage
-from reedmill.llm.codepoints import mix, slices, words
-from reedmill.llm.leaks import without_tags
+from reedmill.llm.codepoints import canonical, mix, slices, words
+from reedmill.llm.markup import ELEMENTS, INLINE
 
 SHORTEST = 100
 SHINGLE = 5
 #: Buckets in which words are counted: the table has this size whatever the input.
 BUCKETS = 1 << 16
-#: Draws per band, and bands.
-ROWS, BANDS = 8, 32
-#: Bits of the sketch, one per draw, and how many must agree for two records to meet.
-BITS = ROWS * BANDS
-AGREE = 0.8
+#: Draws per band, and bands: every draw stands in two bands or fewer.
+ROWS, BANDS = 5, 102
+#: Draws, which are the bits of the sketch, and how many must agree for two records to meet.
+BITS = 256
+AGREE = 0.72
 #: Power of the logarithm of the rarity: below 1, so that slips of spelling, rare words all, don't outweigh the rest.
 RARITY = 0.7
 LEAST, MOST = 0.05, 5.0
-#: Words of evaluation records in a shard, and of training records in one stream through it.
-SHARD, STREAM = 60_000, 400_000
+#: Words of evaluation records in a shard, and of training records in one stream through it: what is found does not depend on them. A stream meets
+#: the stock phrases of the whole shard, so that small shards spare hits that lead nowhere.
+SHARD, STREAM = 10_000, 400_000
 #: Part of both records that the merged spans cover, and part of the longer record's words that both have.
 COVERED = 0.5
 SHARED = 0.72
@@ -54,6 +62,15 @@ SAMPLED = 8
 #: Hits that are located at once.
 HITS = 2_000_000
 SLICE = 1 << 20
+#: The draws of each band: all draws in one order after the other.
+DRAWN = np.concatenate([np.argsort(mix(np.arange(BITS, dtype=np.uint64) + np.uint64(1 + i * BITS)))[: BITS // ROWS * ROWS] for i in range(-(-BANDS // (BITS // ROWS)))]).reshape(-1, ROWS)[:BANDS]
+
+#: Attributes that stand without a value.
+_ALONE = "allowfullscreen|async|autofocus|autoplay|checked|compact|controls|default|defer|disabled|hidden|ismap|itemscope|loop|multiple|muted|nomodule|noshade|novalidate|nowrap|open|playsinline|readonly|required|reversed|selected"
+_VALUED = r"\s++[A-Za-z_:@][\w:.-]*+\s*+=\s*+(?:\"[^\"<]*+\"|'[^'<]*+'|[“”„″][^“”„″<>]*+[“”„″]|[^\s\"'<>]++)"
+#: A tag: an element's name, or any name that is closed or has an attribute with a value. Prose between angle brackets is none.
+TAG = re.compile(rf"<(?:(?:{'|'.join(sorted(ELEMENTS, key=len, reverse=True))})(?:{_VALUED}|\s++(?:{_ALONE})(?=[\s/>]))*+\s*+/?>|[A-Za-z][\w:-]*+(?:{_VALUED})++\s*+/?>|/[A-Za-z][\w:-]*+\s*+>|!(?:--|doctype\b|\[CDATA\[)[^<>]*+>)", re.A | re.I)
+ENTITY = re.compile(r"&(?:#\d{1,7}|#x[\dA-F]{1,6}|[A-Z][A-Z\d]{1,31});", re.A | re.I)
 
 
 def meeting(similarity: float) -> float:
@@ -64,7 +81,27 @@ def meeting(similarity: float) -> float:
 def eligible(records: DataFrame, key: str, text: Column) -> DataFrame:
     """(id, evaluation, text) of each record of a split with a long enough content."""
     rows = records.where(F.length(text) >= SHORTEST).where(F.col("split").isin("train", "validation", "test"))
-    return rows.select(F.col(key).alias("id"), (F.col("split") != "train").alias("evaluation"), without_tags(text).alias("text"))
+    return rows.select(F.col(key).alias("id"), (F.col("split") != "train").alias("evaluation"), text.alias("text"))
+
+
+def displayed(text: str) -> str:
+    """A text with its entities decoded, also where they were escaped again, and without its tags, unless nothing is left without them."""
+    for _ in range(8):
+        text, n = ENTITY.subn(lambda m: html.unescape(m.group()), text)
+        if not n:
+            break
+    bare = TAG.sub(lambda m: "" if INLINE.match(m.group().lower()) else " ", text)
+    return bare if bare and not bare.isspace() else text
+
+
+def visible(part: pa.Array) -> pa.Array:
+    """Texts as they are displayed; only those with a sign of markup are looked at one by one."""
+    odd = np.flatnonzero(pc.or_(pc.match_substring(part, "<"), pc.match_substring(part, "&")).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return part
+    index = np.arange(len(part))
+    index[odd] = len(part) + np.arange(len(odd))
+    return pa.concat_arrays([part, pa.array([displayed(x) for x in part.take(pa.array(odd)).to_pylist()], pa.string())]).take(pa.array(index))
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -89,7 +126,7 @@ def word_weights(rows: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for part in slices(batch.column(0), SLICE):
-                _, _, _, w = once_per_row(part)
+                _, _, _, w = once_per_row(visible(part))
                 total[:BUCKETS] += np.bincount(bucket(w), minlength=BUCKETS)
                 total[BUCKETS] += len(part)
         there = np.flatnonzero(total)
@@ -122,8 +159,15 @@ def draws(row: np.ndarray, w: np.ndarray, rows: int, weights: np.ndarray) -> np.
     return out
 
 
+def wordless(text: str) -> tuple[int, int]:
+    """Two fingerprints of the characters but blanks, both 0 for a blank text."""
+    bare = "".join(text.split())
+    digest = hashlib.blake2b(bare.encode(), digest_size=16).digest() if bare else bytes(16)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def signatures(part: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: two fingerprints of its word sequence, the number of words, the bands, and the sketch as four numbers."""
+    """Per row: two fingerprints of its word sequence (``wordless`` without words), the number of words, the bands, and the sketch as four numbers."""
     h, offsets, r, w = once_per_row(part)
     n = np.diff(offsets)
     nth = (np.arange(len(h)) - np.repeat(offsets[:-1], n)).astype(np.uint64)
@@ -131,29 +175,32 @@ def signatures(part: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     for seed in (1, 2):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(nth * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))), dtype=np.uint64)))
         prints.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
+    none = np.flatnonzero(n == 0)
+    if len(none):
+        prints[0][none], prints[1][none] = zip(*map(wordless, canonical(part.take(pa.array(none))).to_pylist()), strict=True)
     drawn = draws(r, w, len(part), weights)
     band = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(part), axis=1)
     for j in range(ROWS):
-        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + drawn[j::ROWS] + np.uint64(1))
+        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + drawn[DRAWN[:, j]] + np.uint64(1))
     bits = mix(drawn.astype(np.uint64) + np.uint64(7)) >> np.uint64(17) & np.uint64(1)
     sketch = np.packbits(bits.astype(np.uint8), axis=0).T.copy().view(np.int64)
-    return prints[0], prints[1], n, band.T.copy().view(np.int64), sketch
+    return prints[0], prints[1], n, (band.T >> np.uint64(32)).astype(np.uint32).view(np.int32), sketch
 
 
 def fingerprints(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(id, evaluation, f1, f2, n, bands, sketch) of each record with a word."""
+    """(id, evaluation, f1, f2, n, bands, sketch) of each record that is not blank."""
     lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for part in slices(batch.column(2), SLICE):
-                f1, f2, n, bands, sketch = signatures(part, weights)
+                f1, f2, n, bands, sketch = signatures(visible(part), weights)
                 own = [batch.column(i).slice(done, len(part)) for i in (0, 1)]
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(f1), pa.array(f2), pa.array(n.astype(np.int32)), lists(bands), lists(sketch)], names=["id", "evaluation", "f1", "f2", "n", "bands", "sketch"])
 
-    return rows.mapInArrow(work, "id long, evaluation boolean, f1 long, f2 long, n int, bands array<long>, sketch array<long>").where("n > 0")
+    return rows.mapInArrow(work, "id long, evaluation boolean, f1 long, f2 long, n int, bands array<int>, sketch array<long>").where("n > 0 or f1 != 0 or f2 != 0")
 
 
 class Bits:
@@ -344,7 +391,7 @@ def search_group(table: pa.Table) -> pa.Table:
     text = table.column("text").combine_chunks()
     text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
     e, t = np.flatnonzero(flag), np.flatnonzero(~flag)
-    pairs = match(text.take(pa.array(e)).cast(pa.string()), text.take(pa.array(t)).cast(pa.string()))
+    pairs = match(visible(text.take(pa.array(e)).cast(pa.string())), visible(text.take(pa.array(t)).cast(pa.string())))
     return pa.table({"t": pa.array([int(ids[t[x]]) for x, _ in pairs], pa.int64()), "e": pa.array([int(ids[e[y]]) for _, y in pairs], pa.int64())})
 
 

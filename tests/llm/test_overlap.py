@@ -113,3 +113,34 @@ def test_shuffled_words_are_no_case_whatever_else_is_there(spark, monkeypatch):
     monkeypatch.setattr(overlap, "SHARD", 300)
     monkeypatch.setattr(overlap, "STREAM", 500)
     assert pairs(spark, rows, [*mixed, *short, *base[:5]]) == want
+
+
+def test_markup_hides_no_content(spark):
+    rng = random.Random(6)
+    vocabulary = "thời sự hôm nay Hà Nội người dân đường phố học sinh trường kinh tế xã hội giá vàng tăng giảm mưa lớn miền Trung chính quyền địa phương cho biết đã được của và".split()
+    base = [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(8)]
+    coded = lambda x: "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in x)
+    w = base[2].split()
+    other = [f"<N {base[0]}>", coded(base[1]), " ".join([*w[:10], "x <y", *w[10:110], "y> z", *w[110:]]), coded(base[3]).replace("&", "&amp;")]
+    other += [" ".join(x[:1] + "&shy;" + x[1:] for x in base[4].split()), " ".join(f"&lt;b class=&quot;x y&quot;&gt;{x}&lt;/b&gt;" for x in base[5].split()), " ".join(f"{x[:1]}<b>{x[1:]}</b>" for x in base[6].split()), f"<!-- {base[7]} -->"]
+    rules = ["-" * 150, "🎉 " * 80, " " * 200]
+    got = pairs(spark, [*base, *rules, "=" * 150], [*other, "-" * 150, "🎉" * 160, " " * 200, "~" * 150])
+    assert got == {(i, 1000 + i) for i in range(9)}  # 80 emoji are not 160, blanks are no text
+
+
+def test_tags_are_told_from_prose():
+    for x in ('<p class="a">', "<br/>", "<img src=x alt='a > b' disabled/>", "</div >", "<ref name=a/>", "<!-- x -->", "<!DOCTYPE html>", "<em>", '<o:p x="1">'):
+        assert overlap.displayed(f"một {x} hai").split() == ["một", "hai"], x
+    for x in ("<b và c>", "<em đi học>", "<Nguyễn Văn A>", "<!Nóng>", "x <y z", "<a b c>"):
+        assert overlap.displayed(x) == x
+
+
+def test_rare_words_put_in_and_a_sentence_added(spark):
+    rng = random.Random(8)
+    vocabulary = [f"từ{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    often = [1 / (i + 1) for i in range(len(vocabulary))]
+    base = [" ".join(rng.choices(vocabulary, often, k=rng.choice((80, 150, 300)))) for _ in range(300)]
+    other = [" ".join([*(rng.choice(vocabulary) if rng.random() < 0.1 else x for x in b.split()), *rng.choices(vocabulary, k=12)]) for b in base]
+    want = {(i, 1000 + i) for i in range(len(base)) if match(pa.array([other[i]]), pa.array([base[i]]))}
+    got = pairs(spark, base, other)
+    assert len(want) > 250 and len(got & want) >= 0.98 * len(want) and got <= want
