@@ -14,6 +14,9 @@ lead nothing together.  Draws are by chance: a pair with every tenth word replac
 Words put in by chance are mostly rare and weigh more than those they replace: with every tenth word replaced by any
 of the corpus and a sentence added, records still agree in about 0.72 of their draws.
 
+Most pairs that meet share half of their words and are no case.  They are told before any text is moved by a bound that
+leaves out no case (``possible``), and the rest by the exact count of shared words, before the index is built.
+
 Exact copies (in words) are one class per side and are searched once.  Shards and their streams are of bounded size,
 popular shards are split by training record.  The pairs of classes are expanded to records at the end.
 
@@ -48,12 +51,18 @@ ROWS, BANDS = 5, 102
 #: Draws, which are the bits of the sketch, and how many must agree for two records to meet.
 BITS = 256
 AGREE = 0.72
+#: Bits of a record's bag for each of its words, at least: their number is a power of two.
+BAG = 6
 #: Power of the logarithm of the rarity: below 1, so that slips of spelling, rare words all, don't outweigh the rest.
 RARITY = 0.7
 LEAST, MOST = 0.05, 5.0
 #: Words of evaluation records in a shard, and of training records in one stream through it: what is found does not depend on them. A stream meets
 #: the stock phrases of the whole shard, so that small shards spare hits that lead nowhere.
 SHARD, STREAM = 10_000, 400_000
+#: The same where only bags are compared.
+BAG_SHARD, BAG_STREAM = 32_000_000, 32_000_000
+#: Numbers of bags that are compared at once.
+NUMBERS = 1 << 22
 #: Part of both records that the merged spans cover, and part of the longer record's words that both have.
 COVERED = 0.5
 SHARED = 0.72
@@ -108,15 +117,16 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) % BUCKETS
 
 
-def once_per_row(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all rows with their offsets, and each row's distinct words: rows and hashes."""
+def once_per_row(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all rows with their offsets, and each row's distinct words: rows, hashes and how often they stand there."""
     h, offsets = words(part)
     row = np.repeat(np.arange(len(part)), np.diff(offsets))
     order = np.lexsort((h, row))
     r, w = row[order], h[order]
     new = np.ones(len(w), bool)
     new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-    return h, offsets, r[new], w[new]
+    heads = np.flatnonzero(new)
+    return h, offsets, r[heads], w[heads], np.diff(np.append(heads, len(w)))
 
 
 def word_weights(rows: DataFrame) -> np.ndarray:
@@ -126,7 +136,7 @@ def word_weights(rows: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for part in slices(batch.column(0), SLICE):
-                _, _, _, w = once_per_row(visible(part))
+                _, _, _, w, _ = once_per_row(visible(part))
                 total[:BUCKETS] += np.bincount(bucket(w), minlength=BUCKETS)
                 total[BUCKETS] += len(part)
         there = np.flatnonzero(total)
@@ -159,6 +169,44 @@ def draws(row: np.ndarray, w: np.ndarray, rows: int, weights: np.ndarray) -> np.
     return out
 
 
+def bags(row: np.ndarray, w: np.ndarray, times: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Per row bits in numbers, set by its words; the second, third and later one of a word set bits of their own.
+
+    The bits of a bag of half the size are those of both halves together.
+    """
+    numbers = np.int64(1) << np.ceil(np.log2(np.maximum(n * BAG / 64, 1))).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(numbers)))
+    row, nth = np.repeat(row, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    bit = (mix(np.repeat(w, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17)).astype(np.int64) & numbers[row] * 64 - 1
+    flags = np.zeros(start[-1] * 64, np.uint8)
+    flags[start[row] * 64 + bit] = 1
+    return pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(np.packbits(flags).view(np.int64)))
+
+
+def folded(bits: np.ndarray, offsets: np.ndarray, rows: np.ndarray, numbers: int) -> np.ndarray:
+    """(rows x numbers): bags of some rows in a size that none of them is below."""
+    out = np.zeros((len(rows), numbers), np.uint64)
+    size = np.diff(offsets)[rows]
+    for k in np.unique(size):
+        own = np.flatnonzero(size == k)
+        out[own] = np.bitwise_or.reduce(bits[offsets[rows[own], None] + np.arange(k)].reshape(len(own), -1, numbers), axis=1)
+    return out
+
+
+def most_shared(bits: np.ndarray, offsets: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The words that rows a and rows b may have in common at most: a bit that one bag has alone stands for a word that the other record lacks."""
+    out = np.zeros(len(a), np.int64)
+    size = np.minimum(np.diff(offsets)[a], np.diff(offsets)[b])
+    for k in np.unique(size):
+        own = np.flatnonzero(size == k)
+        for i in range(0, len(own), max(1, NUMBERS // int(k))):
+            at = own[i : i + max(1, NUMBERS // int(k))]
+            x, y = (folded(bits, offsets, side[at], int(k)) for side in (a, b))
+            lacks = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x)))
+            out[at] = np.minimum(*(n[side[at]] - lack for side, lack in zip((a, b), lacks, strict=True)))
+    return out
+
+
 def wordless(text: str) -> tuple[int, int]:
     """Two fingerprints of the characters but blanks, both 0 for a blank text."""
     bare = "".join(text.split())
@@ -166,9 +214,9 @@ def wordless(text: str) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def signatures(part: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: two fingerprints of its word sequence (``wordless`` without words), the number of words, the bands, and the sketch as four numbers."""
-    h, offsets, r, w = once_per_row(part)
+def signatures(part: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """Per row: two fingerprints of its word sequence (``wordless`` without words), the number of words, the bands, the sketch as four numbers, and the bag."""
+    h, offsets, r, w, times = once_per_row(part)
     n = np.diff(offsets)
     nth = (np.arange(len(h)) - np.repeat(offsets[:-1], n)).astype(np.uint64)
     prints = []
@@ -184,23 +232,23 @@ def signatures(part: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
         band = mix(band * np.uint64(0x9E3779B97F4A7C15) + drawn[DRAWN[:, j]] + np.uint64(1))
     bits = mix(drawn.astype(np.uint64) + np.uint64(7)) >> np.uint64(17) & np.uint64(1)
     sketch = np.packbits(bits.astype(np.uint8), axis=0).T.copy().view(np.int64)
-    return prints[0], prints[1], n, (band.T >> np.uint64(32)).astype(np.uint32).view(np.int32), sketch
+    return prints[0], prints[1], n, (band.T >> np.uint64(32)).astype(np.uint32).view(np.int32), sketch, bags(r, w, times, n)
 
 
 def fingerprints(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(id, evaluation, f1, f2, n, bands, sketch) of each record that is not blank."""
+    """(id, evaluation, f1, f2, n, bands, sketch, bag) of each record that is not blank."""
     lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for part in slices(batch.column(2), SLICE):
-                f1, f2, n, bands, sketch = signatures(visible(part), weights)
+                f1, f2, n, bands, sketch, bag = signatures(visible(part), weights)
                 own = [batch.column(i).slice(done, len(part)) for i in (0, 1)]
                 done += len(part)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(f1), pa.array(f2), pa.array(n.astype(np.int32)), lists(bands), lists(sketch)], names=["id", "evaluation", "f1", "f2", "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(f1), pa.array(f2), pa.array(n.astype(np.int32)), lists(bands), lists(sketch), bag], names=["id", "evaluation", "f1", "f2", "n", "bands", "sketch", "bag"])
 
-    return rows.mapInArrow(work, "id long, evaluation boolean, f1 long, f2 long, n int, bands array<int>, sketch array<long>").where("n > 0 or f1 != 0 or f2 != 0")
+    return rows.mapInArrow(work, "id long, evaluation boolean, f1 long, f2 long, n int, bands array<int>, sketch array<long>, bag array<long>").where("n > 0 or f1 != 0 or f2 != 0")
 
 
 class Bits:
@@ -348,12 +396,16 @@ def shared_words(a: np.ndarray, b: np.ndarray) -> int:
 
 def match(evaluation: pa.Array, training: pa.Array) -> list[tuple[int, int]]:
     """Pairs (training row, evaluation row) that share nearly all their words, mostly in order."""
-    eh, eo = words(evaluation)
-    th, to = words(training)
+    return matches(*words(evaluation), *words(training))
+
+
+def matches(eh: np.ndarray, eo: np.ndarray, th: np.ndarray, to: np.ndarray) -> list[tuple[int, int]]:
+    """``match`` by the words of both sides and their offsets."""
     if not len(eh) or not len(th):
         return []
+    evaluations = len(eo) - 1
     index = Index(eh, eo)
-    row = np.repeat(np.arange(len(training)), np.diff(to))
+    row = np.repeat(np.arange(len(to) - 1), np.diff(to))
     ends = np.flatnonzero(np.arange(len(th)) - to[row] >= SHINGLE - 1)
     ends, lo, hi = index.search(index.symbols(th), ends, SHINGLE)
     out: list[tuple[int, int]] = []
@@ -372,10 +424,10 @@ def match(evaluation: pa.Array, training: pa.Array) -> list[tuple[int, int]]:
         place = index.locate(np.arange(k.sum()) - np.repeat(begin, k) + np.repeat(lo[a:b], k))
         end = np.repeat(ends[a:b], k)
         d = np.searchsorted(index.start, place, "right") - 1
-        pair, start, place, length = maximal(row[end] * len(evaluation) + d, end, place)
+        pair, start, place, length = maximal(row[end] * evaluations + d, end, place)
         p, on_training = covered(pair, start, length)
         _, on_evaluation = covered(pair, place, length)
-        t, e = p // len(evaluation), p % len(evaluation)
+        t, e = p // evaluations, p % evaluations
         longer = np.maximum(np.diff(to)[t], np.diff(eo)[e])
         for i in np.flatnonzero(np.minimum(on_training, on_evaluation) >= COVERED * longer):
             x, y = int(t[i]), int(e[i])
@@ -384,14 +436,31 @@ def match(evaluation: pa.Array, training: pa.Array) -> list[tuple[int, int]]:
     return out
 
 
+def of_rows(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some rows and their offsets."""
+    n = np.diff(offsets)[rows]
+    out = np.concatenate(([0], np.cumsum(n)))
+    return h[np.arange(out[-1]) - np.repeat(out[:-1] - offsets[rows], n)], out
+
+
 def search_group(table: pa.Table) -> pa.Table:
-    """One shard with one stream: the pairs of classes found in it."""
+    """One shard with one stream: the pairs of classes found in it.  Only records of pairs that share enough words go through the index."""
     flag = np.asarray(table.column("evaluation").combine_chunks().to_numpy(zero_copy_only=False), bool)
     ids = table.column("id").to_numpy()
     text = table.column("text").combine_chunks()
     text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-    e, t = np.flatnonzero(flag), np.flatnonzero(~flag)
-    pairs = match(visible(text.take(pa.array(e)).cast(pa.string())), visible(text.take(pa.array(t)).cast(pa.string())))
+    h, o = words(visible(text.cast(pa.string())))
+    n = np.diff(o)
+    rows: dict[int, list[int]] = {}
+    for i in np.flatnonzero(flag):
+        rows.setdefault(int(ids[i]), []).append(int(i))
+    left: set[int] = set()
+    for t, met in zip(np.flatnonzero(~flag), table.column("met").filter(pa.array(~flag)).to_pylist(), strict=True):
+        alike = [e for x in met for e in rows.get(x, ()) if shared_words(h[o[t] : o[t + 1]], h[o[e] : o[e + 1]]) >= SHARED * max(n[t], n[e])]
+        left.update([int(t), *alike] if alike else ())
+    kept = np.array(sorted(left), np.int64)
+    e, t = kept[flag[kept]], kept[~flag[kept]]
+    pairs = matches(*of_rows(h, o, e), *of_rows(h, o, t))
     return pa.table({"t": pa.array([int(ids[t[x]]) for x, _ in pairs], pa.int64()), "e": pa.array([int(ids[e[y]]) for _, y in pairs], pa.int64())})
 
 
@@ -404,21 +473,50 @@ def meetings(classes: DataFrame) -> DataFrame:
     return pairs.where(alike & (differ <= int((1 - AGREE) * BITS))).select("t", "tn", "e", "en").distinct()
 
 
+def grouped(near: DataFrame, shard_words: int, stream_words: int) -> DataFrame:
+    """(shard, stream, id, n, evaluation, met): the records of pairs in shards and streams of bounded size; training records with those they met there."""
+    indexed = near.select("e", "en").distinct()
+    total = indexed.agg(F.coalesce(F.sum("en"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_words))
+    shard = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(shards))
+    streamed = near.groupBy(shard("e").alias("shard"), "t", "tn").agg(F.collect_set("e").alias("met"))
+    split = streamed.groupBy("shard").agg(F.ceil(F.sum("tn") / stream_words).cast("int").alias("streams"))
+    training = streamed.join(split, "shard").select("shard", F.pmod(F.xxhash64("t", F.lit(6)), F.col("streams")).cast("int").alias("stream"), F.col("t").alias("id"), F.col("tn").alias("n"), F.lit(False).alias("evaluation"), "met")
+    evaluation = indexed.select(shard("e").alias("shard"), F.col("e").alias("id"), F.col("en").alias("n")).join(split, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"), "id", "n", F.lit(True).alias("evaluation"), F.lit(None).cast("array<long>").alias("met"))
+    return training.unionByName(evaluation)
+
+
+def compare_bags(table: pa.Table) -> pa.Table:
+    """One shard with one stream: the pairs that met and may share as many words as a case has."""
+    table = table.combine_chunks()
+    flag = np.asarray(table.column("evaluation").to_numpy(zero_copy_only=False), bool)
+    ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+    bag = pa.concat_arrays(table.column("bag").chunks)
+    e, t = np.flatnonzero(flag), np.flatnonzero(~flag)
+    met = pa.concat_arrays(table.column("met").chunks).take(pa.array(t))
+    a, other = np.repeat(t, met.value_lengths().to_numpy(zero_copy_only=False)), met.flatten().to_numpy()
+    e = e[np.argsort(ids[e], kind="stable")]
+    first = np.searchsorted(ids[e], other, "left")
+    many = np.searchsorted(ids[e], other, "right") - first
+    a, b = np.repeat(a, many), e[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]
+    offsets = np.concatenate(([0], np.cumsum(bag.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    left = most_shared(bag.flatten().to_numpy().view(np.uint64), offsets, n, a, b) >= SHARED * np.maximum(n[a], n[b])
+    return pa.table({"t": ids[a[left]], "tn": n[a[left]], "e": ids[b[left]], "en": n[b[left]]})
+
+
+def possible(near: DataFrame, prints: DataFrame) -> DataFrame:
+    """(t, tn, e, en): the pairs that may share as many words as a case has; none that does is left out."""
+    group = grouped(near, BAG_SHARD, BAG_STREAM).join(prints.select("id", "n", "evaluation", "bag"), ["id", "n", "evaluation"])
+    return group.groupBy("shard", "stream").applyInArrow(compare_bags, "t long, tn int, e long, en int").distinct()
+
+
 def class_pairs(rows: DataFrame, prints: DataFrame) -> DataFrame:
     """(t, e): classes of training and evaluation records, by their smallest ids, that share nearly all words."""
     classes = cut_lineage(prints.groupBy("evaluation", "f1", "f2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min_by(F.struct("bands", "sketch"), "id").alias("x")).select("evaluation", "f1", "f2", "id", "n", "x.*"))
     tiny = classes.where(F.col("n") < SHINGLE)
     copies = tiny.where("not evaluation").select("f1", "f2", F.col("id").alias("t")).join(tiny.where("evaluation").select("f1", "f2", F.col("id").alias("e")), ["f1", "f2"]).select("t", "e")
-    near = cut_lineage(meetings(classes))
-    indexed = near.select("e", "en").distinct()
-    total = indexed.agg(F.coalesce(F.sum("en"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD))
-    shard = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(shards))
-    streamed = near.select(shard("e").alias("shard"), "t", "tn").distinct()
-    split = streamed.groupBy("shard").agg(F.ceil(F.sum("tn") / STREAM).cast("int").alias("streams"))
-    training = streamed.join(split, "shard").select("shard", F.pmod(F.xxhash64("t", F.lit(6)), F.col("streams")).cast("int").alias("stream"), F.col("t").alias("id"), F.lit(False).alias("evaluation"))
-    evaluation = indexed.select(shard("e").alias("shard"), F.col("e").alias("id")).join(split, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"), "id", F.lit(True).alias("evaluation"))
-    group = training.unionByName(evaluation).join(rows.select("id", "text"), "id")
+    near = cut_lineage(possible(cut_lineage(meetings(classes)), prints))
+    group = grouped(near, SHARD, STREAM).drop("n").join(rows.select("id", "text"), "id")
     return group.groupBy("shard", "stream").applyInArrow(search_group, "t long, e long").distinct().union(copies)
 
 

@@ -144,3 +144,48 @@ def test_rare_words_put_in_and_a_sentence_added(spark):
     want = {(i, 1000 + i) for i in range(len(base)) if match(pa.array([other[i]]), pa.array([base[i]]))}
     got = pairs(spark, base, other)
     assert len(want) > 250 and len(got & want) >= 0.98 * len(want) and got <= want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "ab cd a b ", "c a ba " * 40]), st.text(alphabet="abcd ", max_size=200)).map("".join), min_size=2, max_size=5))
+def test_bags_never_tell_fewer_shared_words_than_there_are(texts):
+    h, o, r, w, times = overlap.once_per_row(pa.array(texts))
+    bag = overlap.bags(r, w, times, np.diff(o))
+    a, b = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    most = overlap.most_shared(bag.values.to_numpy().view(np.uint64), bag.offsets.to_numpy().astype(np.int64), np.diff(o), a, b)
+    for i, j, k in zip(a, b, most, strict=True):
+        assert overlap.shared_words(h[o[i] : o[i + 1]], h[o[j] : o[j + 1]]) <= k
+        assert texts[i] != texts[j] or k == o[i + 1] - o[i]
+
+
+def half_alike(rng, n):
+    """Texts of 120 words, somewhat more than half of which are one of twelve stocks, and the same of other texts, the last ten of which are altered copies."""
+    stocks = [[f"kho{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(66)] for k in range(12)]
+    vocabulary = [f"từ{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    base, other = ([" ".join([*stocks[i % 12], *(rng.choice(vocabulary) for _ in range(54))]) for i in range(n)] for _ in range(2))
+    return base, [*other, *(" ".join(x if i % 15 else "khác" for i, x in enumerate(b.split())) for b in base[:10])]
+
+
+def test_pairs_that_share_half_their_words_do_not_reach_the_index(monkeypatch):
+    base, other = half_alike(random.Random(9), 20)
+    table = pa.table({"id": [*range(20), *range(1000, 1020)], "evaluation": [False] * 20 + [True] * 20, "text": [*base, *other[:20]], "met": [list(range(1000, 1020))] * 20 + [None] * 20})
+    built = []
+    monkeypatch.setattr(overlap, "Index", lambda h, o: built.append(len(h)) or Index(h, o))
+    assert overlap.search_group(table).num_rows == 0 and not built
+    assert overlap.search_group(table.set_column(2, "text", [[*base, *other[:19], base[3].upper()]])).to_pylist() == [{"t": 3, "e": 1019}]
+    assert built == [120]
+
+
+def test_pairs_that_share_half_their_words_move_no_text(spark, monkeypatch):
+    base, other = half_alike(random.Random(10), 120)
+    rows = [(i, "train", "s", b) for i, b in enumerate(base)] + [(1000 + i, "test", "s", b) for i, b in enumerate(other)]
+    df = spark.createDataFrame(rows, "row_id long, split string, source string, content string")
+    text = overlap.eligible(df, "row_id", df["content"])
+    classes = overlap.fingerprints(text, overlap.word_weights(text))
+    near = overlap.meetings(classes)
+    left = {(r.t, r.e) for r in overlap.possible(near, classes).collect()}
+    assert near.count() > 200 and len(left) < 30 and left >= {(i, 1120 + i) for i in range(10)}
+    monkeypatch.setattr(overlap, "BAG_SHARD", 1000)
+    monkeypatch.setattr(overlap, "BAG_STREAM", 700)
+    assert left == {(r.t, r.e) for r in overlap.possible(near, classes).collect()}
+    assert pairs(spark, base, other) == {(i, 1120 + i) for i in range(10)}
